@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -145,6 +145,58 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+#: Bits of a filter of keys: fixed, so what is broadcast never grows; and keys that it is meant for.
+FILTER_BITS = 1 << 26
+FILTER_KEYS = FILTER_BITS // 16
+
+
+def _filter_places(keys: np.ndarray) -> np.ndarray:
+    x = mix(keys.view(U))
+    return np.stack([x & U(FILTER_BITS - 1), (x >> U(32)) & U(FILTER_BITS - 1)]).astype(np.int64)
+
+
+def _join_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            new = np.frombuffer(raw, np.uint8)
+            held[b] = held[b] | new if b in held else new
+    if held:
+        yield pa.record_batch([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["block", "bits"])
+
+
+def key_filter(df: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray]):
+    """A broadcast Bloom filter of the 64-bit keys of df's rows, or None if they are more than such a filter is good for."""
+    if df.count() > FILTER_KEYS:
+        return None
+    block = 1 << 15
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = np.unique(_filter_places(keys(batch)).ravel())
+            which, first = np.unique(at // block, return_index=True)
+            for b, part in zip(which.tolist(), np.split(at, first[1:]), strict=True):
+                if b not in held:
+                    held[b] = np.zeros(block, np.uint8)
+                held[b][part % block] = 1
+        if held:
+            yield pa.record_batch([pa.array(list(held), pa.int32()), pa.array([np.packbits(x).tobytes() for x in held.values()], pa.binary())], names=["block", "bits"])
+
+    schema = "block int, bits binary"
+    blocks = df.mapInArrow(run, schema).repartition(16, "block").mapInArrow(_join_bits, schema).collect()  # FILTER_BITS at most
+    bits = bytearray(FILTER_BITS // 8)
+    for b, raw in blocks:
+        bits[b * block // 8 : (b + 1) * block // 8] = raw
+    return df.sparkSession.sparkContext.broadcast(bytes(bits))
+
+
+def may_have(bits: bytes, keys: np.ndarray) -> np.ndarray:
+    """True for every key in the filter, and for a few others."""
+    raw, at = np.frombuffer(bits, np.uint8), _filter_places(keys)
+    return ((raw[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component: the smallest node that links (a, b) reach from each node with a link.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattice.llm.common import U, components, cut, mix, pieces, shingles, words
+from lattice.llm.common import U, components, cut, key_filter, may_have, mix, pieces, shingles, words
 
 #: Counters of the frequency sketch; fixed, so what is broadcast never grows.
 SKETCH_BITS = 20
@@ -119,9 +120,10 @@ def _regions(percent: int):
         need = least_overlap(na + nb, percent)
         return (np.minimum(na - pa_, nb - pb) >= need) & (np.minimum(na, nb) >= need)
 
-    def made(a: np.ndarray, b: np.ndarray, s: np.ndarray | None = None, n: np.ndarray | None = None) -> pa.RecordBatch:
-        rows = len(a)
-        return pa.record_batch([pa.array(a), pa.array(b) if s is None else pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()) if s is None else pa.array(s), pa.nulls(rows, pa.int32()) if n is None else pa.array(n)], names=["a", "b", "s", "n"])
+    names = ["a", "b", "s", "n", "pos"]
+
+    def made(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()), *(pa.nulls(len(a), pa.int32()),) * 2], names=names)
 
     def done(rows: list[np.ndarray], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         s, c, n, pos = rows
@@ -144,7 +146,7 @@ def _regions(percent: int):
                 ok = allowed(n, pos, np.full_like(n, piv[2][q]), np.full_like(pos, piv[3][q])) & (c != piv[1][q])
                 if ok.any():
                     yield made(np.minimum(c[ok], piv[1][q]), np.maximum(c[ok], piv[1][q]))
-            yield made(c, c, s, n)
+            yield pa.record_batch([pa.array(c), pa.nulls(len(c), pa.int64()), pa.array(s), pa.array(n), pa.array(pos)], names=names)
 
         for batch in batches:
             rows = [batch.column(i).to_numpy() for i in range(4)]
@@ -178,13 +180,59 @@ def _regions(percent: int):
     return run
 
 
-def _sets(k: int):
+def _bitmap(s: np.ndarray) -> bytes:
+    """Which of about 4 to 8 places a member are taken; a place taken by one set only is a member that the other lacks."""
+    places = 1 << max(6, int(4 * len(s)).bit_length())
+    bits = np.zeros(places, np.uint8)
+    bits[(s & U(places - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def _may_link(percent: int):
+    """Pairs that their bitmaps don't rule out: a bound on the intersection, never below it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, (na, nb, x, y) in enumerate(zip(*(batch.column(m).to_pylist() for m in range(2, 6)), strict=True)):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                while len(x) > len(y):
+                    x = x[: len(x) // 2] | x[len(x) // 2 :]
+                while len(y) > len(x):
+                    y = y[: len(y) // 2] | y[len(y) // 2 :]
+                both = min(na - int(np.bitwise_count(x & ~y).sum()), nb - int(np.bitwise_count(y & ~x).sum()))
+                if both * (100 + percent) >= percent * (na + nb):
+                    keep.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return run
+
+
+#: 64-bit words of the short bitmap that is compared where pairs of a large region are made.
+SHORT = 4
+
+
+def _asked(k: int, flags, whole: bool):
+    """The sets of texts whose id may be asked for, or their bitmaps."""
+    names = ["c", "rep", "n", "members"] if whole else ["c", "rep", "n", "bits", *(f"k{i}" for i in range(SHORT))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if flags is not None:
+                batch = batch.filter(pa.array(may_have(flags.value, batch.column("id").to_numpy())))
             for i, j in pieces(batch, "text"):
                 part = batch.slice(i, j - i)
-                rows = [(c, rep, s.tobytes()) for c, rep, s in zip(part.column("c").to_pylist(), part.column("rep").to_pylist(), sets_of(part.column("text"), k), strict=True) if int(mix(s).sum(dtype=U).view(np.int64)) == c]  # another row may have the same id
-                yield pa.record_batch([pa.array([r[m] for r in rows], kind) for m, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["c", "rep", "members"])
+                sets = list(sets_of(part.column("text"), k))
+                own = pa.array([int(mix(s).sum(dtype=U).view(np.int64)) for s in sets], pa.int64())
+                told = [own, part.column("id"), pa.array(map(len, sets), pa.int64())]
+                if whole:
+                    told.append(pa.array([s.tobytes() for s in sets], pa.binary()))
+                else:
+                    short = np.zeros((len(sets), SHORT * 64), np.uint8)
+                    for row, s in zip(short, sets, strict=True):
+                        row[(s % U(SHORT * 64)).astype(np.int64)] = 1
+                    told += [pa.array(map(_bitmap, sets), pa.binary()), *(pa.array(x) for x in np.packbits(short, axis=1).view(np.int64).T)]
+                yield pa.record_batch(told, names=names)
 
     return run
 
@@ -201,14 +249,24 @@ def _verify(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs of classes that are near enough, by their representatives, with both sizes; exact on whole sets."""
-    asked = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
-    texts = docs.join(reps.join(asked, "c", "left_semi").withColumnRenamed("rep", "id"), "id").select("c", F.col("id").alias("rep"), "text")
-    sets = cut(texts.mapInArrow(_sets(k), "c long, rep long, members binary"))
-    left = sets.select(F.col("c").alias("a"), F.col("rep").alias("ra"), F.col("members").alias("x"))
-    right = sets.select(F.col("c").alias("b"), F.col("rep").alias("rb"), F.col("members").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("ra", "rb", "x", "y")
+def _sets_asked(classes: DataFrame, docs: DataFrame, reps: DataFrame, k: int, whole: bool) -> DataFrame:
+    """c, rep, n and the members, or the bitmaps, of the classes (c). Texts are read again where they lie; only what is asked for moves."""
+    asked = cut(reps.join(classes.distinct(), "c", "left_semi"))
+    flags = key_filter(asked.select("rep"), lambda batch: batch.column(0).to_numpy())
+    texts = docs.where("id is not null")
+    if flags is None:
+        texts = texts.join(asked.select(F.col("rep").alias("id")), "id", "left_semi")
+    schema = "c long, rep long, n long, " + ("members binary" if whole else "bits binary, " + ", ".join(f"k{i} long" for i in range(SHORT)))
+    return cut(texts.mapInArrow(_asked(k, flags, whole), schema).join(asked, ["c", "rep"], "left_semi"))
+
+
+def _links(pairs: DataFrame, maps: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs of classes that are near enough, by their representatives, with both sizes; exact on whole sets. Sets are made and moved only for pairs that their bitmaps don't rule out."""
+    side = lambda df, end, *columns: df.select(F.col("c").alias(end), *(F.col(c).alias(c + end) for c in columns))
+    close = pairs.join(side(maps, "a", "n", "bits"), "a").join(side(maps, "b", "n", "bits"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
+    close = cut(close.mapInArrow(_may_link(percent), "a long, b long").distinct())
+    sets = _sets_asked(close.select(F.col("a").alias("c")).union(close.select("b")), docs, reps, k, True)
+    both = close.join(side(sets, "a", "rep", "members"), "a").join(side(sets, "b", "rep", "members"), "b").select("repa", "repb", "membersa", "membersb")
     return cut(both.mapInArrow(_verify(percent), "a long, b long, both long, either long").distinct())
 
 
@@ -227,23 +285,31 @@ def jaccard_join(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     reps = told.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"))
     levels = spark.sparkContext.broadcast(_levels(described))
     spread = docs.mapInArrow(_windows(k, percent, levels), "s long, c long, n int, pos int")
-    found = cut(spread.repartition("s").sortWithinPartitions("s", "pos", "c").mapInArrow(_regions(percent), "a long, b long, s long, n int"))
+    found = cut(spread.repartition("s").sortWithinPartitions("s", "pos", "c").mapInArrow(_regions(percent), "a long, b long, s long, n int, pos int"))
     by_class = reps.select(F.col("h1").alias("c"), "rep")
     pairs = found.where("b is not null").select("a", "b").distinct()
-    links = _links(pairs, docs, by_class, k, percent)
-    large = found.where("b is null").select("s", F.col("a").alias("c"), "n")
+    classes = found.select(F.col("a").alias("c")).union(found.where("b is not null").select("b"))
+    maps = _sets_asked(classes, docs, by_class, k, False)
+    links = _links(pairs, maps, docs, by_class, k, percent)
+    large = found.where("b is null").select("s", F.col("a").alias("c"), F.col("n").cast("long"), "pos")
     if not large.isEmpty():
         part = components(links)
-        put = cut(large.join(by_class, "c").join(part, F.col("rep") == F.col("node"), "left").select("s", "c", "n", F.coalesce("component", "rep").alias("k")))
+        short = [f"k{i}" for i in range(SHORT)]
+        put = cut(large.join(maps.select("c", "rep", *short), "c").join(part, F.col("rep") == F.col("node"), "left").select("s", "c", "n", "pos", *short, F.coalesce("component", "rep").alias("k")))
         main = put.groupBy("s", "k").agg(F.count("*").alias("m")).groupBy("s").agg(F.max_by("k", F.struct("m", "k")).alias("main"), F.count("*").alias("parts"))
         open_ = put.join(main if all_links else main.where("parts > 1"), "s")
         outer = open_ if all_links else open_.where("k <> main")
-        x, y = outer.select("s", F.col("c").alias("a"), F.col("n").alias("na"), F.col("k").alias("ka")), open_.select("s", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb"))
-        near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent) & (F.col("a") != F.col("b"))
-        rest = x.join(y, "s").where(near if all_links else near & (F.col("ka") != F.col("kb")))
+        side = lambda df, end: df.select("s", "size", F.col("c").alias(end), *(F.col(v).alias(v + end) for v in ("n", "pos", "k", *short)))
+        size = F.floor(F.log(F.col("n")) / math.log(100 / percent)).cast("int")  # sets near enough are at most one step apart
+        x = side(outer.withColumn("size", F.explode(F.array(size - 1, size, size + 1))), "a")
+        y = side(open_.withColumn("size", size), "b")
+        lacks = lambda p, q: sum((F.bit_count(F.col(v + p).bitwiseAND(F.bitwise_not(F.col(v + q)))) for v in short), F.lit(0))
+        most = F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb"), F.col("na") - lacks("a", "b"), F.col("nb") - lacks("b", "a"))
+        near = (most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent) & (F.col("a") != F.col("b"))
+        rest = x.join(y, ["s", "size"]).where(near if all_links else near & (F.col("ka") != F.col("kb")))
         rest = cut(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
         if not rest.isEmpty():
-            links = links.union(_links(rest, docs, by_class, k, percent))
+            links = links.union(_links(rest, maps, docs, by_class, k, percent))
     part = components(links)
     named = told.join(reps, ["h1", "h2"], "left").join(part, F.col("rep") == F.col("node"), "left")
     out = named.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component_id"))

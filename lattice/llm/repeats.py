@@ -5,19 +5,14 @@ Each window is anchored at its least gram, so equal windows have equal anchors.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattice.llm.common import IS_SPACE, SYMBOLS, Prefix, U, cut, mix, pieces, shingles, text_bytes, words
-
-#: Bits of the filter that tells which runs to look into: fixed, so what is broadcast never grows.
-FILTER_BITS = 1 << 26
-#: Runs that the filter is meant for; beyond it, runs are told by a join.
-FILTER_RUNS = FILTER_BITS // 16
+from lattice.llm.common import IS_SPACE, SYMBOLS, Prefix, U, cut, key_filter, may_have, mix, pieces, shingles, text_bytes, words
 
 
 def least_places(h: np.ndarray, w: int) -> np.ndarray:
@@ -145,61 +140,17 @@ def _settle(every: bool):
     return run
 
 
-def _filter_places(m: np.ndarray) -> np.ndarray:
-    x = mix(m.view(U)) if m.dtype != U else mix(m)
-    return np.stack([(x & U(FILTER_BITS - 1)), ((x >> U(32)) & U(FILTER_BITS - 1))]).astype(np.int64)
-
-
 def run_identity(ids: np.ndarray | int, first: np.ndarray) -> np.ndarray:
     return mix(np.asarray(ids, dtype=np.int64).view(U) * U(0xC2B2AE3D27D4EB4F) + first.astype(U))
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The blocks of the filter that this task's runs set."""
-    block = 1 << 15
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        ids, what = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        at = np.unique(_filter_places(run_identity(ids, what >> 20)).ravel())
-        for b, part in zip(*(lambda u, i: (u, np.split(at, i[1:])))(*np.unique(at // block, return_index=True)), strict=True):
-            bits = held.setdefault(int(b), np.zeros(block, np.uint8))
-            bits[part % block] = 1
-    if held:
-        yield pa.record_batch([pa.array(list(held), pa.int32()), pa.array([np.packbits(x).tobytes() for x in held.values()], pa.binary())], names=["block", "bits"])
-
-
-def _join_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            new = np.frombuffer(raw, np.uint8)
-            held[b] = held[b] | new if b in held else new
-    if held:
-        yield pa.record_batch([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["block", "bits"])
-
-
-def _asked(flags) -> Callable[[int, np.ndarray], np.ndarray]:
-    bits = np.frombuffer(flags.value, np.uint8)
-
-    def test(who: int, first: np.ndarray) -> np.ndarray:
-        at = _filter_places(run_identity(np.full(len(first), who, np.int64), first))
-        return ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
-
-    return test
-
-
 def open_runs(docs: DataFrame, opened: DataFrame, produce, schema: str) -> DataFrame:
     """produce(batch, test) over the texts; test(id, first windows) holds for every open run, and may hold for others."""
-    spark = docs.sparkSession
-    if opened.count() <= FILTER_RUNS:
-        blocks = opened.mapInArrow(_bits, "block int, bits binary").repartition(16, "block").mapInArrow(_join_bits, "block int, bits binary").collect()  # FILTER_BITS at most
-        bits = bytearray(FILTER_BITS // 8)
-        for block, raw in blocks:
-            bits[block << 12 : (block + 1) << 12] = raw
-        flags = spark.sparkContext.broadcast(bytes(bits))
+    flags = key_filter(opened, lambda batch: run_identity(batch.column(0).to_numpy(), batch.column(1).to_numpy() >> 20))
+    if flags is not None:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            test = _asked(flags)
+            test = lambda who, first: may_have(flags.value, run_identity(np.full(len(first), who, np.int64), first))
             for batch in batches:
                 yield from produce(batch, test)
 
