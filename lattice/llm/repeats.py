@@ -325,14 +325,153 @@ def substring_dedup(df: DataFrame, window: int = 20, gram: int = 5, id_col: str
     return without(docs, settled.select("id", "run", "state").union(more), _apply_words(window), columns)
 
 
+#: Occurrences of an anchor whose contexts are expanded together; a more frequent anchor goes by window hashes, which are dealt out one by one.
+TOGETHER = 4096
+#: Occurrences that one expansion takes at once.
+AT_ONCE = 16384
+
+
+def _context_lcp(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of each two rows; 0 fills up a row."""
+    differ = (a != b) | (a == 0)
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
+
+
+def expand_intervals(group: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For anchors with what stands before (nearest first) and after them, symbols above 0 and 0 beyond the end: which windows recur.
+
+    Out: a row for each anchor; column l says whether the window that begins l symbols before it is also around another anchor of its group. Rows stand in suffix order, as in a Burrows-Wheeler transform, so an interval of rows with one left context is extended by the symbol before it with a stable sort; common prefixes of neighbours are kept as minima. Breadth first, the left context grows by one symbol in each turn, and the right one that a window of fixed length still needs shrinks by one; intervals of one row end. The last turn is the one where the left context alone is as long as a window."""
+    n, width = left.shape
+    out = np.zeros((n, width + 1), bool)
+    rows = np.ascontiguousarray(right).view(f"S{width}").ravel() if width else np.zeros(n, "S1")
+    order = np.lexsort((rows, group))
+    same = np.append(False, group[order][1:] == group[order][:-1])
+    common = np.zeros(n, np.int64)
+    pick = np.flatnonzero(same)
+    common[pick] = _context_lcp(right[order[pick]], right[order[pick - 1]])
+    interval = np.cumsum(~same)
+    for depth in range(width + 1):
+        if not len(order):
+            break
+        inner = np.append(interval[1:] == interval[:-1], False)  # has a successor in its interval
+        need = width - depth
+        hit = np.append(False, inner[:-1]) & (common >= need)
+        hit[:-1] |= inner[:-1] & (common[1:] >= need)
+        out[order[hit], depth] = True
+        if depth == width:
+            break
+        symbol = left[order, depth].astype(np.int64)
+        key = interval * 256 + symbol
+        perm = np.argsort(key, kind="stable")
+        perm = perm[symbol[perm] > 0]
+        if not len(perm):
+            break
+        fresh = np.append(True, key[perm][1:] != key[perm][:-1])
+        lone = fresh & np.append(fresh[1:], True)
+        lows = np.zeros(len(perm), np.int64)
+        follow = np.flatnonzero(~fresh)
+        if len(follow):
+            bounds = np.stack([perm[follow - 1] + 1, perm[follow] + 1], axis=1).ravel()
+            lows[follow] = np.minimum.reduceat(np.append(common, 0), bounds)[::2]
+        order, common, interval = order[perm][~lone], lows[~lone], np.cumsum(fresh)[~lone]
+    return out
+
+
+def _segments(window: int, gram: int):
+    """The stretches of text of the runs asked for, with the place of their anchor."""
+
+    def produce(batch: pa.RecordBatch, test) -> Iterator[pa.RecordBatch]:
+        ids = batch.column("id").to_numpy(zero_copy_only=False)
+        out: list[tuple] = []
+        last, raw = -1, b""
+        for row, _, _, (m, _, first, count, place) in each_run(batch, "byte", window, gram):
+            hit = np.flatnonzero(test(ids[row], first))
+            if len(hit):
+                if row != last:
+                    last, raw = row, batch.column("text")[row].as_buffer().to_pybytes()
+                for i in hit.tolist():
+                    f, c = int(first[i]), int(count[i])
+                    out.append((int(m[i].view(np.int64)), int(ids[row]), f, c, int(place[i]) - f, raw[f : f + c - 1 + window]))
+            if len(out) > 5000:
+                yield _segment_batch(out)
+                out = []
+        if out:
+            yield _segment_batch(out)
+
+    return produce
+
+
+SEGMENT = "m long, id long, first long, count int, place int, text binary"
+
+
+def _segment_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["m", "id", "first", "count", "place", "text"])
+
+
+def _contexts(texts: list[bytes], place: np.ndarray, gram: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    left, right = np.zeros((len(texts), width), np.uint8), np.zeros((len(texts), width), np.uint8)
+    for i, (t, p) in enumerate(zip(texts, place.tolist(), strict=True)):
+        raw = np.frombuffer(t, np.uint8) + np.uint8(1)  # UTF-8 has no byte 255
+        left[i, :p] = raw[:p][::-1][:width]
+        tail = raw[p + gram :][:width]
+        right[i, : len(tail)] = tail
+    return left, right
+
+
+def _expanded(window: int, gram: int):
+    """Rows come ordered by anchor, id, place: the windows of each that recur in its group."""
+    width = window - gram
+
+    def work(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        rows = [r for i, r in enumerate(rows) if not i or r[:3] != rows[i - 1][:3]]  # a repeated row is the same run
+        m, ids, first, count, place = (np.array([r[i] for r in rows], np.int64) for i in range(5))
+        left, right = _contexts([r[5] for r in rows], place, gram, width)
+        group = np.cumsum(np.append(True, m[1:] != m[:-1]))
+        seen = expand_intervals(group, left, right)
+        at, depth = np.nonzero(seen)
+        start = place[at] - depth
+        fine = (start >= 0) & (start < count[at])
+        at, start = at[fine], start[fine]
+        if len(at):
+            by = np.lexsort((start, at))
+            at, start = at[by], start[by]
+            fresh = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)))
+            n = np.diff(np.append(fresh, len(at)))
+            who = at[fresh]
+            yield pa.record_batch([pa.array(ids[who]), pa.array(((first[who] + start[fresh]) << 20) | n), pa.array(np.full(len(who), COVERED, np.int32))], names=["id", "run", "state"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for r in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if len(held) >= AT_ONCE and r[0] != held[-1][0]:
+                    yield from work(held)
+                    held = []
+                held.append(r)
+        if held:
+            yield from work(held)
+
+    return run
+
+
 def byte_dedup(df: DataFrame, window: int = 400, gram: int = 32, id_col: str = "doc_id", text_col: str = "text", columns: str = "id, n_symbols, n_removed, n_spans, kept_sha256, spans, kept") -> DataFrame:
     """Each text without the bytes of every string of `window` bytes that also begins anywhere else.
 
+    Texts meet by anchor. Where their whole stretches around it are equal, that settles it. Where they aren't, the contexts of an anchor's occurrences are put in suffix order and their intervals expanded backwards, breadth first, up to the length of a window (expand_intervals). Anchors with more than TOGETHER different contexts go by the hashes of their windows instead, which no single task has to hold.
+
     Returns id, n_symbols (bytes), n_removed, n_spans (maximal removed stretches), kept_sha256 (of the remaining bytes), spans, kept (where a span cut a character, its remaining bytes are left out of this text). Null counts as empty. Rows that repeat an id count as different texts only where their places differ. An empty table gives an empty result. Other columns are not read."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    runs = docs.where("id is not null").mapInArrow(_runs("byte", window, gram), "m long, key long, id long, run long")
+    texts = docs.where("id is not null")
+    runs = texts.mapInArrow(_runs("byte", window, gram), "m long, key long, id long, run long")
     settled = cut(runs.repartition("m").sortWithinPartitions("m", "key", "id", "run").mapInArrow(_settle(True), "m long, id long, run long, state int"))
-    opened = settled.where(F.col("state").bitwiseAND(OPEN) > 0).select("id", "run")
-    rows = open_runs(docs.where("id is not null"), opened, _windows("byte", window, gram), "h long, id long, at long")
-    more = cut(rows.repartition("h").sortWithinPartitions("h", "id", "at").mapInArrow(_repeated(True), "id long, run long, state int"))
-    return without(docs, settled.select("id", "run", "state").union(more), _apply_bytes(window), columns)
+    opened = settled.where(F.col("state").bitwiseAND(OPEN) > 0)
+    crowded = opened.groupBy("m").agg(F.count("*").alias("n")).where(F.col("n") > TOGETHER).select("m")
+    few, many = cut(opened.join(crowded, "m", "left_anti").select("id", "run")), cut(opened.join(crowded, "m", "left_semi").select("id", "run"))
+    found = settled.select("id", "run", "state")
+    segments = open_runs(texts, few, _segments(window, gram), SEGMENT)
+    found = found.union(cut(segments.repartition("m").sortWithinPartitions("m", "id", "first").mapInArrow(_expanded(window, gram), "id long, run long, state int")))
+    if not many.isEmpty():
+        rows = open_runs(texts, many, _windows("byte", window, gram), "h long, id long, at long")
+        found = found.union(cut(rows.repartition("h").sortWithinPartitions("h", "id", "at").mapInArrow(_repeated(True), "id long, run long, state int")))
+    return without(docs, found, _apply_bytes(window), columns)
