@@ -24,7 +24,7 @@ def candidates(refs: DataFrame, imports: DataFrame) -> DataFrame:
     exact = F.array(F.struct(F.lit(0).alias("tier"), F.lit(0).alias("depth"), F.lit("q").alias("space"), joined.alias("key")))
     rest = F.slice("path", 2, 1000)
     imported = F.when(F.col("base").isNotNull(), F.array(F.struct(F.lit(2).alias("tier"), F.lit(0).alias("depth"), F.lit("q").alias("space"), F.array_join(F.concat("base", rest), "::").alias("key")))).otherwise(F.array().cast("array<struct<tier:int,depth:int,space:string,key:string>>"))
-    owner = F.when(F.col("qualifier").isNotNull(), text.last_segment(F.col("qualifier"))).when(F.size("path") > 1, F.element_at("path", -2) if False else F.get("path", F.size("path") - 2))
+    owner = F.when(F.col("qualifier").isNotNull(), text.last_segment(F.col("qualifier"))).when(F.size("path") > 1, F.get("path", F.size("path") - 2))
     received = F.when(owner.isNotNull(), F.array(F.struct(F.lit(3).alias("tier"), F.lit(0).alias("depth"), F.lit("r").alias("space"), F.concat(owner, F.lit("::"), F.element_at("path", -1)).alias("key")))).otherwise(F.array().cast("array<struct<tier:int,depth:int,space:string,key:string>>"))
     known = import_map(imports).select(F.col("file_path").alias("f"), "local_name", "base")
     with_imports = refs.join(known, (F.col("file_path") == F.col("f")) & (F.get("path", F.lit(0)) == F.col("local_name")), "left")
