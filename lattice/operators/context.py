@@ -13,6 +13,7 @@ from lattice.operators.search import search_symbols
 
 # Bounds of a report.
 SCAN, KEEP, RELATIONS, PER_KIND, CALLERS, DEPENDENCIES = 800, 40, 160, 64, 30, 32
+HYPEREDGES, PARTICIPANTS = 48, 24
 WHOLE_FILE, AROUND = 220, 3
 
 
@@ -76,6 +77,19 @@ def blast_radius(relations: DataFrame, elements: DataFrame, seeds: DataFrame) ->
     return named.orderBy("rank", "id").limit(CALLERS)
 
 
+def hyperedges(graph: Graph, chosen: DataFrame) -> DataFrame:
+    """Hyperedges that chosen elements (id) or containers above them take part in: the best HYPEREDGES by rank from the chosen, then id, each with at most PARTICIPANTS, anchors first."""
+    ids = chosen.select("id")
+    around = walks.cut(ids.union(walks.ancestors(graph.relations, ids).select("ancestor_id")).distinct())
+    own = graph.incidences.join(around.withColumnRenamed("id", "element_id"), "element_id", "left_semi").select("relation_id").distinct()
+    parts = walks.cut(graph.incidences.join(own, "relation_id", "left_semi"))
+    ranks = walks.hyper_pagerank(parts, ids, 3)[1].withColumnsRenamed({"id": "relation_id", "rank": "score"})
+    scored = own.join(ranks, "relation_id", "left").fillna(0.0, ["score"]).orderBy(F.round("score", 12).desc(), "relation_id").limit(HYPEREDGES)
+    n = F.row_number().over(W.partitionBy("relation_id").orderBy(F.col("role") != "anchor", "element_id"))
+    shown = parts.join(F.broadcast(scored), "relation_id").withColumn("n", n).where(F.col("n") <= PARTICIPANTS)
+    return shown.groupBy("relation_id", "score").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "role", "element_id"))), lambda x: F.struct(x["role"].alias("role"), x["element_id"].alias("element_id"))).alias("participants"))
+
+
 def package_dependencies(lifted: DataFrame, elements: DataFrame) -> DataFrame:
     """Dependencies between packages by name."""
     p = elements.where("kind = 'package'")

@@ -182,6 +182,7 @@ class ProjectIndex:
             "files": files,
             "relationships": [r.asDict() for r in related],
             "dependencies": [r.asDict() for r in deps],
+            "hyperedges": [r.asDict(recursive=True) for r in context.hyperedges(self.graph, chosen).orderBy(F.round("score", 12).desc(), "relation_id").collect()],
             "blast_radius": [r.asDict() for r in blast],
             "call_flow": graph.longest_path(calls),
         }

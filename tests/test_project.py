@@ -5,7 +5,8 @@ import os
 import pytest
 
 from lattice import project
-from lattice.sources import extract, tree
+from lattice.sources import datasource, extract, tree
+from lattice.tools import ToolError, Tools, first_folder, resolve_root
 
 RUST = """//! docs
 /// Helps.
@@ -102,6 +103,37 @@ def test_index(spark, indexed):
     report = index.context("helper entry", max_bytes=2000)
     assert report["budget"]["used"] <= 2000 and any(f["path"] == "src/lib.rs" for f in report["files"])
     assert {r.role for r in index.graph.incidences.collect()} >= {"anchor", "member"}
+    assert report["hyperedges"] and all(h["participants"][0]["role"] == "anchor" for h in report["hyperedges"])
+
+
+def test_tools(spark, indexed):
+    tools = Tools(spark, indexed[0])
+    assert "smoke::helper" in tools.search("helper", kinds=("no_such_kind",))
+    assert "smoke::entry" in tools.callers("smoke::helper") and "smoke::helper" in tools.callees("smoke::entry")
+    assert tools.symbol("smoke::nothing").startswith("no symbol")
+    assert "// src/lib.rs" in tools.explore("helper") and "src/lib.rs" in tools.files("lib")
+    assert tools.status()["exists"] and tools.status()["watch"] == "reader"
+    with pytest.raises(ToolError):
+        tools.callers("smoke::nothing")
+
+
+def test_roots(tmp_path):
+    assert resolve_root(str(tmp_path)) == str(tmp_path.resolve())
+    assert resolve_root(env={"LATTICE_ROOT": str(tmp_path)}) == str(tmp_path.resolve())
+    assert first_folder(f"{tmp_path}/none, x") == f"{tmp_path}/none"
+    with pytest.raises(ToolError):
+        resolve_root(os.path.expanduser("~"))
+    with pytest.raises(ToolError):
+        resolve_root(str(tmp_path / "none"))
+
+
+def test_data_source_and_table_function(spark, tmp_path):
+    root = write(tmp_path, {"_a.py": "def f():\n    pass\n", "b.txt": "x"})
+    datasource.register(spark)
+    got = {r.path: (r.language, bytes(r.content)) for r in spark.read.format("sourcetree").load(root).collect()}
+    assert got == {"_a.py": ("python", b"def f():\n    pass\n"), "b.txt": (None, b"x")}
+    rows = spark.sql("SELECT name, kind, start_line FROM extract_symbols('m.py', 'python', 'class A:\n  def g(self): pass') ORDER BY start_line, kind DESC").collect()
+    assert [tuple(r) for r in rows] == [("m.py", "file", 1), ("A", "class", 1), ("g", "function", 2)]
 
 
 def language_rows(index, selector, direction):
