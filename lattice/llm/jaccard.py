@@ -120,10 +120,11 @@ def _regions(percent: int):
         need = least_overlap(na + nb, percent)
         return (np.minimum(na - pa_, nb - pb) >= need) & (np.minimum(na, nb) >= need)
 
-    names = ["a", "b", "s", "n", "pos"]
+    names = ["a", "b", "s", "n", "pos", "family"]
 
     def made(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()), *(pa.nulls(len(a), pa.int32()),) * 2], names=names)
+        none, short = pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32())
+        return pa.record_batch([pa.array(a), pa.array(b), none, short, short, none], names=names)
 
     def done(rows: list[np.ndarray], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         s, c, n, pos = rows
@@ -146,7 +147,7 @@ def _regions(percent: int):
                 ok = allowed(n, pos, np.full_like(n, piv[2][q]), np.full_like(pos, piv[3][q])) & (c != piv[1][q])
                 if ok.any():
                     yield made(np.minimum(c[ok], piv[1][q]), np.maximum(c[ok], piv[1][q]))
-            yield pa.record_batch([pa.array(c), pa.nulls(len(c), pa.int64()), pa.array(s), pa.array(n), pa.array(pos)], names=names)
+            yield pa.record_batch([pa.array(c), pa.nulls(len(c), pa.int64()), pa.array(s), pa.array(n), pa.array(pos), pa.array(np.full(len(c), piv[1][0]))], names=names)
 
         for batch in batches:
             rows = [batch.column(i).to_numpy() for i in range(4)]
@@ -208,13 +209,8 @@ def _may_link(percent: int):
     return run
 
 
-#: 64-bit words of the short bitmap that is compared where pairs of a large region are made.
-SHORT = 4
-
-
 def _asked(k: int, flags, whole: bool):
     """The sets of texts whose id may be asked for, or their bitmaps."""
-    names = ["c", "rep", "n", "members"] if whole else ["c", "rep", "n", "bits", *(f"k{i}" for i in range(SHORT))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,15 +220,8 @@ def _asked(k: int, flags, whole: bool):
                 part = batch.slice(i, j - i)
                 sets = list(sets_of(part.column("text"), k))
                 own = pa.array([int(mix(s).sum(dtype=U).view(np.int64)) for s in sets], pa.int64())
-                told = [own, part.column("id"), pa.array(map(len, sets), pa.int64())]
-                if whole:
-                    told.append(pa.array([s.tobytes() for s in sets], pa.binary()))
-                else:
-                    short = np.zeros((len(sets), SHORT * 64), np.uint8)
-                    for row, s in zip(short, sets, strict=True):
-                        row[(s % U(SHORT * 64)).astype(np.int64)] = 1
-                    told += [pa.array(map(_bitmap, sets), pa.binary()), *(pa.array(x) for x in np.packbits(short, axis=1).view(np.int64).T)]
-                yield pa.record_batch(told, names=names)
+                data = pa.array([s.tobytes() if whole else _bitmap(s) for s in sets], pa.binary())
+                yield pa.record_batch([own, part.column("id"), pa.array(map(len, sets), pa.int64()), data], names=["c", "rep", "n", "members" if whole else "bits"])
 
     return run
 
@@ -256,7 +245,7 @@ def _sets_asked(classes: DataFrame, docs: DataFrame, reps: DataFrame, k: int, wh
     texts = docs.where("id is not null")
     if flags is None:
         texts = texts.join(asked.select(F.col("rep").alias("id")), "id", "left_semi")
-    schema = "c long, rep long, n long, " + ("members binary" if whole else "bits binary, " + ", ".join(f"k{i} long" for i in range(SHORT)))
+    schema = f"c long, rep long, n long, {'members' if whole else 'bits'} binary"
     return cut(texts.mapInArrow(_asked(k, flags, whole), schema).join(asked, ["c", "rep"], "left_semi"))
 
 
@@ -285,28 +274,33 @@ def jaccard_join(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     reps = told.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"))
     levels = spark.sparkContext.broadcast(_levels(described))
     spread = docs.mapInArrow(_windows(k, percent, levels), "s long, c long, n int, pos int")
-    found = cut(spread.repartition("s").sortWithinPartitions("s", "pos", "c").mapInArrow(_regions(percent), "a long, b long, s long, n int, pos int"))
+    found = cut(spread.repartition("s").sortWithinPartitions("s", "pos", "c").mapInArrow(_regions(percent), "a long, b long, s long, n int, pos int, family long"))
     by_class = reps.select(F.col("h1").alias("c"), "rep")
     pairs = found.where("b is not null").select("a", "b").distinct()
     classes = found.select(F.col("a").alias("c")).union(found.where("b is not null").select("b"))
     maps = _sets_asked(classes, docs, by_class, k, False)
     links = _links(pairs, maps, docs, by_class, k, percent)
-    large = found.where("b is null").select("s", F.col("a").alias("c"), F.col("n").cast("long"), "pos")
+    large = found.where("b is null")
     if not large.isEmpty():
+        # Regions that one passage makes hold much the same sets, and go by one family, named by the region's first pivot. A pair that shares a small region is among pairs; another one shares large regions only, so these alone count for it.
         part = components(links)
-        short = [f"k{i}" for i in range(SHORT)]
-        put = cut(large.join(maps.select("c", "rep", *short), "c").join(part, F.col("rep") == F.col("node"), "left").select("s", "c", "n", "pos", *short, F.coalesce("component", "rep").alias("k")))
-        main = put.groupBy("s", "k").agg(F.count("*").alias("m")).groupBy("s").agg(F.max_by("k", F.struct("m", "k")).alias("main"), F.count("*").alias("parts"))
-        open_ = put.join(main if all_links else main.where("parts > 1"), "s")
-        outer = open_ if all_links else open_.where("k <> main")
-        side = lambda df, end: df.select("s", "size", F.col("c").alias(end), *(F.col(v).alias(v + end) for v in ("n", "pos", "k", *short)))
-        size = F.floor(F.log(F.col("n")) / math.log(100 / percent)).cast("int")  # sets near enough are at most one step apart
-        x = side(outer.withColumn("size", F.explode(F.array(size - 1, size, size + 1))), "a")
-        y = side(open_.withColumn("size", size), "b")
-        lacks = lambda p, q: sum((F.bit_count(F.col(v + p).bitwiseAND(F.bitwise_not(F.col(v + q)))) for v in short), F.lit(0))
-        most = F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb"), F.col("na") - lacks("a", "b"), F.col("nb") - lacks("b", "a"))
-        near = (most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent) & (F.col("a") != F.col("b"))
-        rest = x.join(y, ["s", "size"]).where(near if all_links else near & (F.col("ka") != F.col("kb")))
+        own = F.transform(F.array_sort(F.collect_set(F.struct("pos", "s"))), lambda x: x["s"])
+        per = large.groupBy(F.col("a").alias("c")).agg(F.first("n").cast("long").alias("n"), F.min("pos").alias("pos"), own.alias("own"), F.collect_set("family").alias("families"))
+        per = per.join(by_class, "c").join(part, F.col("rep") == F.col("node"), "left").select("c", "n", "pos", "own", "families", F.coalesce("component", "rep").alias("k"))
+        per = cut(per.withColumn("size", F.floor(F.log(F.col("n")) / math.log(100 / percent)).cast("int")))  # sets near enough are at most one step apart
+        rows = per.withColumn("f", F.explode("families")).drop("families")
+        main = rows.groupBy("f", "k").agg(F.count("*").alias("m")).groupBy("f").agg(F.max_by("k", F.struct("m", "k")).alias("main"), F.count("*").alias("parts"))
+        rows = rows.join(main if all_links else main.where("parts > 1"), "f")
+        outer = rows if all_links else rows.where("k <> main")
+        side = lambda df, end: df.select("f", "size", F.col("c").alias(end), *(F.col(v).alias(v + end) for v in ("n", "pos", "k", "own")))
+        x = side(outer.withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))), "a")
+        enough = lambda most: most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+        shared = F.size(F.array_intersect("owna", "ownb"))
+        beyond = lambda p, q: F.least(F.ceil(F.col(f"n{p}") * percent / 100) - 1, F.col(f"n{q}") - F.col(f"pos{q}") - shared)  # noqa: E731 # members after p's window
+        near = (F.col("a") != F.col("b")) & enough(F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")))
+        near = near if all_links else near & (F.col("ka") != F.col("kb"))
+        near = near & (shared > 0) & enough(shared + F.greatest(beyond("a", "b"), beyond("b", "a")))
+        rest = x.join(side(rows, "b"), ["f", "size"]).where(near)
         rest = cut(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
         if not rest.isEmpty():
             links = links.union(_links(rest, maps, docs, by_class, k, percent))
