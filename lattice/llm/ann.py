@@ -44,16 +44,21 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(n)
 
 
+def in_order(x: np.ndarray) -> np.ndarray:
+    """Sums of rows, added from left to right."""
+    return np.cumsum(x, axis=1)[:, -1]
+
+
 class Tile:
     """A block's vectors, and their int8 form with the length of what rounding lost."""
 
     def __init__(self, dims: int, ids: bytes, data: bytes, kind: str) -> None:
         self.ids = np.frombuffer(ids, np.int64)
         self.rows = np.frombuffer(data, kind).reshape(-1, dims).astype(np.float64)
-        self.peak = np.abs(self.rows).max(axis=1)  # taken out first, so that squares neither overflow nor vanish
-        unit = self.rows / self.peak[:, None]
-        self.norm = np.sqrt((unit * unit).sum(axis=1))
-        unit /= self.norm[:, None]
+        # a power of two is taken out first, so that squares neither overflow nor vanish; it changes no digit of a cosine
+        self.rows = np.ldexp(self.rows, -np.frexp(np.abs(self.rows).max(axis=1))[1][:, None])
+        self.square = in_order(self.rows * self.rows)
+        unit = self.rows / np.sqrt(self.square)[:, None]
         scale = np.abs(unit).max(axis=1) / 127
         self.int8 = np.rint(unit / scale[:, None]).astype(np.int8)
         self.scale, self.lost = scale, np.sqrt(((unit - self.int8 * scale[:, None]) ** 2).sum(axis=1))
@@ -74,8 +79,7 @@ def nearest_in(q: Tile, c: Tile, k: int, best: list[tuple[np.ndarray, np.ndarray
     scores = np.empty(len(row))
     for i in range(0, len(row), PAIRS):
         r, s = row[i : i + PAIRS], col[i : i + PAIRS]
-        x, y = q.rows[r] / q.peak[r, None], c.rows[s] / c.peak[s, None]
-        scores[i : i + PAIRS] = (x * y).sum(axis=1) / (q.norm[r] * c.norm[s])
+        scores[i : i + PAIRS] = np.clip(in_order(q.rows[r] * c.rows[s]) / np.sqrt(q.square[r] * c.square[s]), -1, 1)
     bounds = np.searchsorted(row, np.arange(len(q.ids) + 1))
     for n in range(len(q.ids)):
         a, b = bounds[n], bounds[n + 1]
