@@ -62,7 +62,7 @@ UNION ALL SELECT CAST(2000000000 + s_nationkey AS BIGINT), CAST(3000000000 + s_s
 
 # One reference for each call, of a form that its line number picks: whole name, name in scope, imported name, owner and member, bare name.
 REFS = """
-SELECT DISTINCT CAST(1000000000000000 AS BIGINT) + (CAST(l_orderkey AS BIGINT) * 10 + l_linenumber) * 10000000 + l_partkey AS ref_id, CAST(6000000000 + l_orderkey AS BIGINT) AS source_id,
+SELECT DISTINCT ((CAST(l_orderkey AS BIGINT) * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS ref_id, CAST(6000000000 + l_orderkey AS BIGINT) AS source_id,
        concat(r_name, '::', n_name, '::', c_name, '::order_', l_orderkey) AS source_name, concat(CASE WHEN l_orderkey % 10 = 0 THEN 'tests/' ELSE 'src/' END, n_name, '/orders.rs') AS file_path,
        CASE l_linenumber % 5 WHEN 0 THEN concat('parts::', p_brand, '::', p_partkey) WHEN 1 THEN s_name WHEN 2 THEN concat(p_brand, '::', p_partkey)
             WHEN 3 THEN CAST(p_partkey AS STRING) ELSE CASE WHEN l_partkey % 9 = 0 THEN concat('missing_', l_partkey) ELSE p_name END END AS joined,
