@@ -57,28 +57,56 @@ def each_run(batch: pa.RecordBatch, by: str, window: int, gram: int) -> Iterator
             yield i + int(row), a, prefix, runs_of(symbols[a:b], prefix, a, grams[a : b - gram + 1], window, gram)
 
 
-def _runs(by: str, window: int, gram: int):
+#: Rows that a task compares with each other before they are dealt out, and copies of a run among them that make it worth it.
+LOCALLY, OFTEN = 200_000, 8
+
+
+def _spare(m: np.ndarray, key: np.ndarray, who: np.ndarray, what: np.ndarray, keep: int) -> np.ndarray:
+    """Rows whose run also begins at `keep` earlier places among these rows; only frequent runs are looked at."""
+    spare = np.zeros(len(m), bool)
+    _, which, count = np.unique(key, return_inverse=True, return_counts=True)
+    often = np.flatnonzero(count[which] >= OFTEN)
+    if len(often):
+        o = often[np.lexsort((what[often], who[often], key[often], m[often]))]
+        new = np.ones(len(o), bool)
+        new[1:] = (m[o][1:] != m[o][:-1]) | (key[o][1:] != key[o][:-1]) | (who[o][1:] != who[o][:-1]) | (what[o][1:] != what[o][:-1])
+        o = o[new]  # a repeated row is no other place
+        first = np.ones(len(o), bool)
+        first[1:] = (m[o][1:] != m[o][:-1]) | (key[o][1:] != key[o][:-1])
+        nth = np.arange(len(o)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+        spare[o[nth >= keep]] = True
+    return spare
+
+
+def _runs(by: str, window: int, gram: int, every: bool):
+    """Each run, to be dealt out by its anchor. Where a task alone sees that a run is covered, its row is done, and goes to any task instead of the anchor's."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            held, size = [], 0
+        held, size = [], 0
 
-            def out():
-                return pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["m", "key", "id", "run"])
+        def out():
+            m, key, who, what = (np.concatenate(x) for x in zip(*held, strict=True))
+            done = _spare(m, key, who, what, 2 if every else 1)
+            m = np.where(done, run_identity(who, what).view(np.int64), m)
+            return pa.record_batch([pa.array(x) for x in (m, key, who, what, done)], names=["m", "key", "id", "run", "done"])
 
+        for batch in batches:
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
             for row, _, _, (m, key, first, count, _) in each_run(batch, by, window, gram):
                 held.append((m.view(np.int64), key.view(np.int64), np.full(len(m), ids[row], np.int64), (first << 20) | count))
                 size += len(m)
-                if size > 200_000:
+                if size > LOCALLY:
                     yield out()
-                    held.clear()
-                    size = 0
-            if held:
-                yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
 
     return run
 
 
+RUN = "m long, key long, id long, run long, done boolean"
+
+
 #: What is known of a run: all its windows are covered; its windows are to be compared with those of other runs.
 COVERED, OPEN = 1, 2
 
@@ -129,7 +157,12 @@ def _settle(every: bool):
             before = (m[n - 1], key[n - 1])
 
         for batch in batches:
-            rows = [batch.column(i).to_numpy() for i in range(4)]
+            rows, done = [batch.column(i).to_numpy() for i in range(4)], batch.column(4).to_numpy(zero_copy_only=False)
+            if done.any():
+                yield emit(*(rows[i][done] for i in (0, 2, 3)), np.full(int(done.sum()), COVERED))
+                rows = [x[~done] for x in rows]
+                if not len(rows[0]):
+                    continue
             if last is not None:
                 rows = [np.concatenate(x) for x in zip(last, rows, strict=True)]
             yield from work(rows, False)
@@ -317,7 +350,7 @@ def substring_dedup(df: DataFrame, window: int = 20, gram: int = 5, id_col: str
 
     Returns id, n_symbols (words), n_removed, n_spans, kept_sha256, spans ([first, end) in words), kept (words joined by a space). Null or empty texts have no words. Rows that repeat an id are taken as one text would be: their windows at equal places count as one. An empty table gives an empty result. Other columns are not read."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    runs = docs.where("id is not null").mapInArrow(_runs("word", window, gram), "m long, key long, id long, run long")
+    runs = docs.where("id is not null").mapInArrow(_runs("word", window, gram, False), RUN)
     settled = cut(runs.repartition("m").sortWithinPartitions("m", "key", "id", "run").mapInArrow(_settle(False), "m long, id long, run long, state int"))
     opened = settled.where(F.col("state").bitwiseAND(OPEN) > 0).select("id", "run")
     rows = open_runs(docs.where("id is not null"), opened, _windows("word", window, gram), "h long, id long, at long")
@@ -463,7 +496,7 @@ def byte_dedup(df: DataFrame, window: int = 400, gram: int = 32, id_col: str = "
     Returns id, n_symbols (bytes), n_removed, n_spans (maximal removed stretches), kept_sha256 (of the remaining bytes), spans, kept (where a span cut a character, its remaining bytes are left out of this text). Null counts as empty. Rows that repeat an id count as different texts only where their places differ. An empty table gives an empty result. Other columns are not read."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = docs.where("id is not null")
-    runs = texts.mapInArrow(_runs("byte", window, gram), "m long, key long, id long, run long")
+    runs = texts.mapInArrow(_runs("byte", window, gram, True), RUN)
     settled = cut(runs.repartition("m").sortWithinPartitions("m", "key", "id", "run").mapInArrow(_settle(True), "m long, id long, run long, state int"))
     opened = settled.where(F.col("state").bitwiseAND(OPEN) > 0)
     crowded = opened.groupBy("m").agg(F.count("*").alias("n")).where(F.col("n") > TOGETHER).select("m")
