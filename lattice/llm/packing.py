@@ -17,7 +17,7 @@ from lattice.llm.common import cut
 #: Special token of the vocabulary, its id, and the id that ends a document.
 SPECIAL, END = {"<|endoftext|>": 50256}, 0
 #: Pieces of one length that one task numbers.
-NUMBERED = 20_000
+NUMBERED = 1000
 #: Islands, rounds with a migration after each, and crossovers of an island in a round.
 ISLANDS, ROUNDS, CROSSINGS = 6, 2, 24
 
