@@ -271,7 +271,7 @@ def jaccard_join(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     spark = df.sparkSession
     described = cut(docs.mapInArrow(_describe(k), "id long, n long, h1 long, h2 long, block int, counts binary"))
     told = described.where("block is null").select("id", "n", "h1", "h2")
-    reps = told.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"))
+    reps = cut(told.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep")))
     levels = spark.sparkContext.broadcast(_levels(described))
     spread = docs.mapInArrow(_windows(k, percent, levels), "s long, c long, n int, pos int")
     found = cut(spread.repartition("s").sortWithinPartitions("s", "pos", "c").mapInArrow(_regions(percent), "a long, b long, s long, n int, pos int, family long"))
