@@ -54,11 +54,16 @@ def path_points(path: Column, asked: bool) -> Column:
     return F.when(test & F.lit(not asked), 0).otherwise(plain)
 
 
+def prepared(e: dict[str, Column]) -> dict[str, Column]:
+    """What symbol_score reads again and again, to be computed once for each symbol: its words and its lowered fields."""
+    low = {f"_{k}": ascii_lower(F.coalesce(v, F.lit(""))) for k, v in e.items()}
+    return {"_bag": F.array_distinct(F.flatten(F.array(*(terms(v) for v in e.values()))))} | low
+
+
 def symbol_score(query: str, e: dict[str, Column]) -> Column:
-    """Points of a symbol for a query; e has name, qualified_name, kind, signature, docstring, file_path."""
+    """Points of a symbol with prepared() columns for a query; e has name, qualified_name, kind, signature, docstring, file_path."""
     words, asked = query_terms(query), wants_tests(query_terms(query))
-    low = {k: ascii_lower(F.coalesce(v, F.lit(""))) for k, v in e.items()}
-    bag = F.array_distinct(F.flatten(F.array(*(terms(v) for v in e.values()))))
+    low, bag = {k: F.col(f"_{k}") for k in e}, F.col("_bag")
     whole = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in query.strip())
     hit = lambda w, field: F.array_contains(bag, w) | low[field].contains(w)
     score = F.when(low["qualified_name"] == whole, 2000).otherwise(0) + F.when(low["name"] == whole, 1800).otherwise(0)

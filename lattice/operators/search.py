@@ -24,7 +24,9 @@ def search_symbols(elements: DataFrame, query: str, limit: int = 50, kinds: tupl
     """The best symbols for a query with their score. Without terms every symbol has score 0; with terms a symbol without a hit still has its bonuses."""
     found = symbols(elements, kinds)
     if text.query_terms(query):
-        found = found.withColumn("score", text.symbol_score(query, {f: F.col(f) for f in FIELDS})).where("score > 0")
+        fields = {f: F.col(f) for f in FIELDS}
+        ready = text.prepared(fields)
+        found = found.withColumns(ready).withColumn("score", text.symbol_score(query, fields)).drop(*ready).where("score > 0")
     else:
         found = found.withColumn("score", F.lit(0).cast("long"))
     return found.orderBy(F.col("score").desc(), *ORDER).limit(limit)
