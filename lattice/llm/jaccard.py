@@ -113,12 +113,15 @@ def _windows(k: int, percent: int, levels):
 
 
 def _regions(percent: int):
-    """Rows of a task come ordered by region, place, class. Small regions give all their pairs that size and place allow; larger ones give pairs with their pivots, and their own rows for later."""
+    """Rows of a task come ordered by region, place, class. Small regions give all their pairs that size allows, at whatever place, so that who is not among them shares no small region; larger ones give pairs with their pivots that size and place allow, and their own rows for later."""
+
+    def sized(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+        na, nb = na.astype(np.int64), nb.astype(np.int64)
+        return np.minimum(na, nb) >= least_overlap(na + nb, percent)
 
     def allowed(na: np.ndarray, pa_: np.ndarray, nb: np.ndarray, pb: np.ndarray) -> np.ndarray:
         na, nb = na.astype(np.int64), nb.astype(np.int64)
-        need = least_overlap(na + nb, percent)
-        return (np.minimum(na - pa_, nb - pb) >= need) & (np.minimum(na, nb) >= need)
+        return np.minimum(na - pa_, nb - pb) >= least_overlap(na + nb, percent)
 
     names = ["a", "b", "s", "n", "pos", "family"]
 
@@ -133,7 +136,7 @@ def _regions(percent: int):
         small = size[group] <= SMALL
         for d in range(1, min(SMALL, int(size.max(initial=1)))):
             i = np.flatnonzero((group[d:] == group[:-d]) & small[d:])
-            i = i[allowed(n[i], pos[i], n[i + d], pos[i + d]) & (c[i] != c[i + d])]
+            i = i[sized(n[i], n[i + d]) & (c[i] != c[i + d])]
             if len(i):
                 yield made(np.minimum(c[i], c[i + d]), np.maximum(c[i], c[i + d]))
 

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,39 @@ def test_jaccard_on_documents(spark):
     assert rows(jaccard.jaccard_join(d)[0], "id", "n_shingles", "component_id") == want
 
 
+def hot_phrase():
+    """Texts with one phrase, and short near copies that share it first, differ at the second place and share the third with nobody else."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    sets = lambda *texts: [s.tolist() for s in jaccard.sets_of(pa.array(texts), 5)]
+    hot = min((fresh(5) for _ in range(300)), key=lambda w: sets(" ".join(w)))
+    first = sets(" ".join(hot))[0][0]
+    texts, copies = [], []
+    while len(texts) < 60:
+        t = " ".join(hot + fresh(9))
+        if sets(t)[0][0] == first:
+            texts.append(t)
+    while len(copies) < 24:
+        same = hot + fresh(8)
+        a, b = " ".join(same + fresh(1)), " ".join(same + fresh(1))
+        x, y = sets(a, b)
+        if x[0] == y[0] == first and x[1] not in y and y[1] not in x and x[2] == y[2]:
+            copies += [a, b]
+    return list(enumerate(texts + copies))
+
+
+def test_jaccard_of_short_copies_with_a_hot_phrase(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "_levels", lambda described: np.zeros(1 << jaccard.SKETCH_BITS, np.uint8))  # as in a corpus so large that the phrase is ordinary
+    texts = hot_phrase()
+    want, links = brute.jaccard(texts)
+    assert len(links) == 12
+    d = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    found, _ = jaccard.jaccard_join(d)
+    assert rows(found, "id", "n_shingles", "component_id") == want
+    found, got = jaccard.jaccard_join(d, all_links=True)
+    assert rows(found, "id", "n_shingles", "component_id") == want and rows(got, "a", "b") == links
+
+
 def test_exact(docs):
     groups = defaultdict(list)
     for i, t in awkward():
