@@ -119,7 +119,7 @@ def nearest(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_
     kind = "<f4" if "float" in dict(df.dtypes)[vector_col] else "<f8"
     if kind == "<f8":
         v = v.cast("array<double>")
-    named = lambda x: x.select(F.col(id_col).cast("long").alias("id"), v.alias("vector"))
+    named = lambda x: x.select(F.col(id_col).cast("long").alias("id"), v.alias("vector")).distinct()  # noqa: E731 # before any list is cut to k, which copies would fill
     schema = "dims int, ids binary, data binary"
     candidates = cut(named(rows).mapInArrow(_blocks, schema))
     queries = cut(named(rows.where(is_query)).mapInArrow(_blocks, schema))
@@ -130,4 +130,4 @@ def nearest(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_
     c = candidates.withColumn("c", cell(candidates, down)).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
     met = q.groupBy("g", "c").cogroup(c.groupBy("g", "c")).applyInArrow(_meet(k, kind), "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return met.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -258,6 +258,22 @@ def test_nearest(spark):
         assert [s for _, s in got[q]] == pytest.approx([s for _, _, s in want], abs=1e-12)
 
 
+def test_nearest_of_repeated_rows(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(40, 8)).astype(np.float32)
+    one = [(i, [float(v) for v in x[i]]) for i in range(40)]
+    schema = "vec_id long, embedding array<float>"
+    pick = ("query_id", "rank", "vec_id", "score")
+    want = sorted(map(tuple, ann.nearest(spark.createDataFrame(one, schema), F.col("vec_id") % 10 == 0).select(*pick).collect()))
+    y = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    assert [(q, v) for q, _, v, _ in want] == [(q, int(j)) for q in range(0, 40, 10) for j in [j for j in np.argsort(-(y @ y[q])) if j != q][:5]]
+    for copies, parts in ((2, 1), (7, 1), (7, 5)):
+        d = spark.createDataFrame(one * copies, schema).repartition(parts)
+        assert sorted(map(tuple, ann.nearest(d, F.col("vec_id") % 10 == 0).select(*pick).collect())) == want
+    scaled = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0])], schema)  # an id with different vectors has a candidate for each, as in the SQL
+    assert [tuple(r) for r in ann.nearest(scaled, F.col("vec_id") == 0, 3).orderBy("rank").select("rank", "vec_id").collect()] == [(1, 1), (2, 1), (3, 2)]
+
+
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
