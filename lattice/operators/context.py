@@ -83,7 +83,7 @@ def hyperedges(graph: Graph, chosen: DataFrame) -> DataFrame:
     around = walks.cut(ids.union(walks.ancestors(graph.relations, ids).select("ancestor_id")).distinct())
     own = graph.incidences.join(around.withColumnRenamed("id", "element_id"), "element_id", "left_semi").select("relation_id").distinct()
     parts = walks.cut(graph.incidences.join(own, "relation_id", "left_semi"))
-    ranks = walks.hyper_pagerank(parts, ids, 3)[1].withColumnsRenamed({"id": "relation_id", "rank": "score"})
+    ranks = walks.hyper_pagerank(parts, ids)[1].withColumnsRenamed({"id": "relation_id", "rank": "score"})
     scored = own.join(ranks, "relation_id", "left").fillna(0.0, ["score"]).orderBy(F.round("score", 12).desc(), "relation_id").limit(HYPEREDGES)
     n = F.row_number().over(W.partitionBy("relation_id").orderBy(F.col("role") != "anchor", "element_id"))
     shown = parts.join(F.broadcast(scored), "relation_id").withColumn("n", n).where(F.col("n") <= PARTICIPANTS)

@@ -266,6 +266,18 @@ def hyper_ppr(w: Warehouse) -> DataFrame:
     return graph.hyper_pagerank(inc, _seed(w, 5000000001, 5000000002), 1)[1].select("id", F.round("rank", 9).alias("rank"))
 
 
+@plan
+def ppr_all_rounds(w: Warehouse) -> DataFrame:
+    edges = graph.adjacency(w.relations(), ("calls", "contains"))
+    return graph.pagerank(edges, _seed(w, 1000000001, 2000000002)).select("id", F.round("rank", 9).alias("rank"))
+
+
+@plan
+def hyper_ppr_all_rounds(w: Warehouse) -> DataFrame:
+    inc = w.incidences().where("kind = 'impl_group'")
+    return graph.hyper_pagerank(inc, _seed(w, 5000000001, 5000000002))[1].select("id", F.round("rank", 9).alias("rank"))
+
+
 # budget
 @plan
 def budget_prefix(w: Warehouse) -> DataFrame:
