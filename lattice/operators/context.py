@@ -98,14 +98,10 @@ def package_dependencies(lifted: DataFrame, elements: DataFrame) -> DataFrame:
 
 
 def candidates(graph: Graph, query: str, limit: int = 8) -> DataFrame:
-    """(id, rank, pagerank): what to show for a query: the best symbols, ranked over the graph around them."""
+    """(id, rank, pagerank): what to show for a query: the best symbols, ranked over all explored relations."""
     seeds = search_symbols(graph.elements, query, 3 * limit, tuple(PREFERRED)).where("kind <> 'file'").orderBy(F.col("score").desc(), "qualified_name", "file_path", "start_byte").limit(limit)
     seeds = walks.cut(seeds.select("id", "score"))
-    near = walks.walk(graph.relations, seeds, EXPLORED, "both", 2)
-    ids = walks.cut(near.select("id"))
-    edges = walks.adjacency(graph.relations, EXPLORED)
-    edges = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    ranks = walks.pagerank(edges, seeds)
+    ranks = walks.pagerank(walks.adjacency(graph.relations, EXPLORED), seeds)
     top = ranks.orderBy(F.round("rank", 12).desc(), "id").limit(SCAN)
     kept = top.join(graph.elements.where("kind <> 'file'").select("id"), "id", "left_semi").orderBy(F.round("rank", 12).desc(), "id").limit(KEEP)
     return kept.select("id", F.row_number().over(W.orderBy(F.round("rank", 12).desc(), "id")).alias("rank"), F.col("rank").alias("pagerank"))

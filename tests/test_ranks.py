@@ -68,3 +68,17 @@ def test_hyperedges_of_a_report_run_all_rounds(spark):
     near = {e for e, x, _ in inc if x in (0, 6)}
     want = hyper_ranked([x for x in inc if x[0] in near], [0, 6])
     assert {r.relation_id: r.score for r in got.collect()} == pytest.approx({e: want[e] for e in near}, abs=1e-12)
+
+
+def test_candidates_are_ranked_beyond_two_steps(spark):
+    symbols = "id long, name string, qualified_name string, kind string, file_path string, start_byte long, end_byte long, start_line long, end_line long, signature string, docstring string, stable_key string"
+    names = ["serve", "a", "b", "c", "d", "e", "f", "g"]
+    e = spark.createDataFrame([(i, n, f"m::{n}", "function", "src/m.rs", i, i + 1, i + 1, i + 1, None, None, n) for i, n in enumerate(names)], symbols)
+    calls = [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 2), (2, 6)]  # symbol 7 is out of reach
+    r = spark.createDataFrame([(i, a, b, "calls") for i, (a, b) in enumerate(calls)], "id long, source_id long, target_id long, kind string")
+    out = defaultdict(set)
+    for a, b in calls:
+        out[a].add(b)
+    got = {r.id: r.pagerank for r in context.candidates(Graph(e, r), "serve", 1).collect()}
+    assert set(got) == set(range(7))
+    assert got == pytest.approx(ranked({a: dict.fromkeys(to, 1 / len(to)) for a, to in out.items()}, [0]), abs=1e-12)
