@@ -253,6 +253,16 @@ def context_relations(w: Warehouse) -> DataFrame:
     return context.relationships(w.relations(), chosen).select("relation_id", "source_id", "target_id")
 
 
+def _selected(w: Warehouse) -> DataFrame:
+    """A report's selection: KEEP elements at most."""
+    return context.walks.cut(context.candidates(w.graph(), "order urgent Customer", 4))
+
+
+@plan
+def context_relations_selected(w: Warehouse) -> DataFrame:
+    return context.relationships(w.relations(), _selected(w)).select("relation_id", "source_id", "target_id")
+
+
 # ranking
 @plan
 def ppr_fixed_rounds(w: Warehouse) -> DataFrame:
@@ -377,6 +387,8 @@ def context_report(w: Warehouse) -> DataFrame:
 
 @plan
 def longest_path(w: Warehouse) -> DataFrame:
-    edges = w.relations().where("source_id between 1000000000 and 4000000020 and target_id < 4000000020 and kind = 'contains'").select("source_id", "target_id").orderBy("source_id", "target_id").limit(40).collect()  # a report's selection is bounded
+    ids = F.broadcast(_selected(w).select("id"))
+    among = w.relations().join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
+    edges = among.select("source_id", "target_id").distinct().collect()  # between KEEP elements at most
     chain = graph.longest_path([tuple(r) for r in edges])
     return w.spark.createDataFrame(list(enumerate(chain)), "position int, id long")

@@ -82,3 +82,21 @@ def test_candidates_are_ranked_beyond_two_steps(spark):
     got = {r.id: r.pagerank for r in context.candidates(Graph(e, r), "serve", 1).collect()}
     assert set(got) == set(range(7))
     assert got == pytest.approx(ranked({a: dict.fromkeys(to, 1 / len(to)) for a, to in out.items()}, [0]), abs=1e-12)
+
+
+def test_relations_and_chain_of_a_selection(spark):
+    w = Warehouse(spark, SF)
+    chosen = {r.id for r in context.candidates(w.graph(), "order urgent Customer", 4).collect()}
+    among = [r for r in w.relations().collect() if r.source_id in chosen and r.target_id in chosen]
+    after = defaultdict(set)
+    for r in among:
+        after[r.source_id].add(r.target_id)
+
+    def longest(n, on):
+        return 1 + max((longest(m, on | {m}) for m in after[n] - on), default=0)
+
+    chain = [r.id for r in PLANS["longest_path"](spark, SF).orderBy("position").collect()]
+    assert set(chain) <= chosen and all(b in after[a] for a, b in zip(chain, chain[1:], strict=False))
+    assert len(chain) == max(longest(n, {n}) for n in list(after)) > 1
+    assert len(among) <= context.RELATIONS
+    assert {r.relation_id for r in PLANS["context_relations_selected"](spark, SF).collect()} == {r.id for r in among if r.kind != "depends_on"}
