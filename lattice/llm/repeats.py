@@ -346,7 +346,7 @@ def without(df: DataFrame, flags: DataFrame, apply, columns: str) -> DataFrame:
 def substring_dedup(df: DataFrame, window: int = 20, gram: int = 5, id_col: str = "doc_id", text_col: str = "text", columns: str = "id, n_symbols, n_removed, n_spans, kept_sha256, spans, kept") -> DataFrame:
     """Each text without the words of every window of `window` words that also begins earlier (smaller id, or earlier in the same text).
 
-    A relative Lempel-Ziv parse with the corpus as reference: the index of reference phrases is dealt out by anchor, each text is parsed into the longest stretches with one anchor, and a phrase met before is a factor as a whole. Factors that end inside a stretch are found by checking the stretches at factor boundaries window by window. Neighbouring factors join to the removed spans.
+    In place of a greedy longest-match parse, texts are split into stretches with one anchor, which are dealt out by anchor; a stretch met before is settled as a whole by its hash. The windows of stretches left open are compared by window hash. Neighbouring repeats join to the removed spans.
 
     Returns id, n_symbols (words), n_removed, n_spans, kept_sha256, spans ([first, end) in words), kept (words joined by a space). Null or empty texts have no words. Rows that repeat an id are taken as one text would be: their windows at equal places count as one. An empty table gives an empty result. Other columns are not read."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
