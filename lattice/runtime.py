@@ -20,7 +20,7 @@ def ship(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local run without one gets a temporary folder."""
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir")
+    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
@@ -29,8 +29,38 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    """A path in its file system, both as Hadoop has them."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def session_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is deleted when the driver ends."""
+    sc = spark.sparkContext
+    folder = f"{shared_folder(spark)}/lattice-{sc.applicationId}"
+    if getattr(sc, "_lattice_session", None) != folder:
+        files, at = _path(spark, folder)
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+        sc._lattice_session = folder
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: later rounds survive lost executors and don't run it again."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    """Write df to the shared folder and read it back: later steps survive lost executors and don't run it again."""
+    spark = df.sparkSession
+    path = f"{session_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def release(*cuts: DataFrame) -> None:
+    """Delete what cut() wrote for these; nothing that is still to be read may come from them."""
+    for df in cuts:
+        if path := getattr(df, "_cut_path", None):
+            files, at = _path(df.sparkSession, path)
+            files.delete(at, True)
