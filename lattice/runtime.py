@@ -48,10 +48,18 @@ def session_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: later steps survive lost executors and don't run it again."""
+#: Rows of a file that cut() writes, where it is told how many rows there are at most.
+FILE_ROWS = 25_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: later steps survive lost executors and don't run it again.
+
+    With rows, the most that df can have, few rows go to few files, instead of one from each task."""
     spark = df.sparkSession
     path = f"{session_folder(spark)}/{uuid.uuid4().hex}"
+    if rows is not None and (files := rows // FILE_ROWS + 1) < int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.repartition(files)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
