@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattice.llm.common import cut
+from lattice.llm.common import cut, in_batches
 
 #: Vectors of a block, and blocks of each kind that meet in one task.
 BLOCK, TOGETHER = 2048, 8
@@ -121,8 +121,8 @@ def nearest(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_
         v = v.cast("array<double>")
     named = lambda x: x.select(F.col(id_col).cast("long").alias("id"), v.alias("vector")).distinct()  # noqa: E731 # before any list is cut to k, which copies would fill
     schema = "dims int, ids binary, data binary"
-    candidates = cut(named(rows).mapInArrow(_blocks, schema))
-    queries = cut(named(rows.where(is_query)).mapInArrow(_blocks, schema))
+    candidates = cut(in_batches(named(rows), _blocks, schema))
+    queries = cut(in_batches(named(rows.where(is_query)), _blocks, schema))
     across = max(1, -(-queries.count() // TOGETHER))
     down = max(-(-candidates.count() // TOGETHER), min(spark.sparkContext.defaultParallelism, 64) // across, 1)
     cell = lambda x, n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")

@@ -2,44 +2,42 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattice.runtime import cut, release
+
 #: Bytes that separate words: space and \t \n \v \f \r.
 SPACES = (9, 10, 11, 12, 13, 32)
-#: Text bytes hashed at once by a Python worker; a longer single text is taken alone.
-CHUNK = 2 << 20
+#: Text bytes hashed at once by a Python worker, which takes about 64 bytes of memory for each; a longer single text is taken alone.
+CHUNK = 1 << 19
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
 INVERSE = U(pow(int(BASE), -1, 1 << 64))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local run without one gets a temporary folder."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = getattr(sc, "_lattice_folder", None) or f"file://{tempfile.mkdtemp(prefix='lattice-')}"
-        sc._lattice_folder = folder
-    return folder.rstrip("/")
+#: Bytes of a batch that a Python worker gets at once; a longer single row is taken alone.
+BATCH = 4 << 20
+
+
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches bounded by bytes, not only by rows, whatever the rows hold."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = df.sparkSession.conf.get(key, None)
+    if not have or not 0 < int("".join(c for c in have if c.isdigit()) or 0) <= BATCH:
+        df.sparkSession.conf.set(key, str(BATCH))
+    return df.mapInArrow(run, schema)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: later stages survive lost executors and don't run it again."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def text_key(text: Column) -> Column:
+    """Tells rows of one id apart by their text; null and empty are told apart too."""
+    return F.xxhash64(text, F.length(text))
 
 
 def pieces(batch: pa.RecordBatch | pa.Table, column: str, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
@@ -155,39 +153,40 @@ def _filter_places(keys: np.ndarray) -> np.ndarray:
     return np.stack([x & U(FILTER_BITS - 1), (x >> U(32)) & U(FILTER_BITS - 1)]).astype(np.int64)
 
 
+#: Bytes of a block of the filter.
+FILTER_BLOCK = 1 << 12
+
+
 def _join_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     for batch in batches:
-        for b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            new = np.frombuffer(raw, np.uint8)
-            held[b] = held[b] | new if b in held else new
-    if held:
-        yield pa.record_batch([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["block", "bits"])
+        raw, at = text_bytes(batch.column(1))
+        for i, b in enumerate(batch.column(0).to_pylist()):
+            new = raw[at[i] : at[i + 1]]
+            held[b] = held[b] | new if b in held else new.copy()
+    for b, x in held.items():
+        yield pa.record_batch([pa.array([b], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["block", "bits"])
 
 
 def key_filter(df: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray]):
     """A broadcast Bloom filter of the 64-bit keys of df's rows, or None if they are more than such a filter is good for."""
     if df.count() > FILTER_KEYS:
         return None
-    block = 1 << 15
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        held = np.zeros(FILTER_BITS // 8, np.uint8)
         for batch in batches:
-            at = np.unique(_filter_places(keys(batch)).ravel())
-            which, first = np.unique(at // block, return_index=True)
-            for b, part in zip(which.tolist(), np.split(at, first[1:]), strict=True):
-                if b not in held:
-                    held[b] = np.zeros(block, np.uint8)
-                held[b][part % block] = 1
-        if held:
-            yield pa.record_batch([pa.array(list(held), pa.int32()), pa.array([np.packbits(x).tobytes() for x in held.values()], pa.binary())], names=["block", "bits"])
+            at = _filter_places(keys(batch)).ravel()
+            np.bitwise_or.at(held, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+        blocks = held.reshape(-1, FILTER_BLOCK)
+        for b in np.flatnonzero(blocks.any(axis=1)).tolist():
+            yield pa.record_batch([pa.array([b], pa.int32()), pa.array([blocks[b].tobytes()], pa.binary())], names=["block", "bits"])
 
     schema = "block int, bits binary"
-    blocks = df.mapInArrow(run, schema).repartition(16, "block").mapInArrow(_join_bits, schema).collect()  # FILTER_BITS at most
+    blocks = in_batches(in_batches(df, run, schema).repartition(16, "block"), _join_bits, schema).collect()  # FILTER_BITS at most
     bits = bytearray(FILTER_BITS // 8)
     for b, raw in blocks:
-        bits[b * block // 8 : (b + 1) * block // 8] = raw
+        bits[b * FILTER_BLOCK : (b + 1) * FILTER_BLOCK] = raw
     return df.sparkSession.sparkContext.broadcast(bytes(bits))
 
 
@@ -197,21 +196,22 @@ def may_have(bits: bytes, keys: np.ndarray) -> np.ndarray:
     return ((raw[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, component: the smallest node that links (a, b) reach from each node with a link.
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
+    """node, component: the smallest node that links (a, b) reach from each node with a link. rows: the most links there can be.
 
-    Alternating large and small stars; every round is cut in the shared folder, and nothing but counts comes to the driver."""
+    Alternating large and small stars; every round is cut in the shared folder, and nothing but counts comes to the driver. The least neighbours are cut as well, so that a join with them can be split where one node has a large share of the edges."""
     mark = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % (1 << 31))).first())
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), rows)
     before = mark(edges)
-    while before[0]:
+    while n := before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), 2 * n)
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("x"), "m").where("x <> m").union(low.select("u", "m"))
-        after = cut(small.toDF("u", "v").distinct())
+        large = cut(large.where("u <> v").distinct(), n)
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), n)
+        small = large.join(least, "u").select(F.col("v").alias("x"), "m").where("x <> m").union(least.select("u", "m"))
+        after = cut(small.toDF("u", "v").distinct(), 2 * n)
+        release(edges, low, large, least)
         edges, last, before = after, before, mark(after)
         if before == last:
             break

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattice.llm.common import U, components, cut, key_filter, may_have, mix, pieces, shingles, words
+from lattice.llm.common import U, components, cut, in_batches, key_filter, may_have, mix, pieces, shingles, text_bytes, text_key, words
 
 #: Counters of the frequency sketch; fixed, so what is broadcast never grows.
 SKETCH_BITS = 20
@@ -41,23 +41,44 @@ def sets_of(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, U)
 
 
+#: Shingles that a task holds before it counts them; blocks of counters.
+COUNTED, BLOCK = 1 << 18, 1 << 12
+
+
+def set_mark(s: np.ndarray) -> int:
+    """64 bits that stand for a set."""
+    return int(mix(s).sum(dtype=U).view(np.int64))
+
+
 def _describe(k: int):
+    """Size and two marks of each row's set; then, with null ids, the counters of all the task's shingles."""
+    names = ["id", "text_key", "n", "h1", "h2", "block", "counts"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        held: list[np.ndarray] = []
+
+        def add() -> None:
+            if held:
+                at, n = np.unique((np.concatenate(held) >> U(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
+                counts[at] += n
+                held.clear()
+
         for batch in batches:
             for i, j in pieces(batch, "text"):
-                part, out, all_sets = batch.slice(i, j - i), [], [np.zeros(0, U)]
+                part, out = batch.slice(i, j - i), []
                 for s in sets_of(part.column("text"), k):
-                    all_sets.append(s)
-                    out.append((len(s), int(mix(s).sum(dtype=U).view(np.int64)), int(mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U).view(np.int64))))
-                counts += np.bincount((np.concatenate(all_sets) >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+                    held.append(s)
+                    out.append((len(s), set_mark(s), set_mark(s ^ U(0x5851F42D4C957F2D))))
+                if sum(map(len, held)) > COUNTED:
+                    add()
                 n, h1, h2 = zip(*out, strict=True)
                 none = pa.nulls(len(out), pa.binary())
-                yield pa.record_batch([part.column("id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.nulls(len(out), pa.int32()), none], names=["id", "n", "h1", "h2", "block", "counts"])
-        if counts.any():
-            for b, part in enumerate(counts.reshape(-1, 1 << 12)):
-                one = pa.nulls(1, pa.int64())
-                yield pa.record_batch([one, one, one, one, pa.array([b], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["id", "n", "h1", "h2", "block", "counts"])
+                yield pa.record_batch([part.column("id"), part.column("text_key"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.nulls(len(out), pa.int32()), none], names=names)
+        add()
+        blocks, one = counts.reshape(-1, BLOCK), pa.nulls(1, pa.int64())
+        for b in np.flatnonzero(blocks.any(axis=1)).tolist():
+            yield pa.record_batch([one, one, one, one, one, pa.array([b], pa.int32()), pa.array([blocks[b].tobytes()], pa.binary())], names=names)
 
     return run
 
@@ -65,26 +86,33 @@ def _describe(k: int):
 def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     for batch in batches:
-        for b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            held[b] = held[b] + np.frombuffer(raw, np.int64) if b in held else np.frombuffer(raw, np.int64)
-    if held:
-        yield pa.record_batch([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["block", "counts"])
+        raw, at = text_bytes(batch.column(1))
+        for i, b in enumerate(batch.column(0).to_pylist()):
+            new = raw[at[i] : at[i + 1]].view(np.int64)
+            held[b] = held[b] + new if b in held else new.copy()
+    for b, x in held.items():
+        yield pa.record_batch([pa.array([b], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["block", "counts"])
 
 
 def _levels(described: DataFrame) -> np.ndarray:
     """A byte for each counter: 0 for ordinary shingles, more for more frequent ones."""
     blocks = described.where("block is not null").select("block", "counts")
-    added = blocks.repartition(16, "block").mapInArrow(_add_blocks, "block int, counts binary").collect()  # 2 ** SKETCH_BITS counters, whatever the input
+    added = in_batches(blocks.repartition(16, "block"), _add_blocks, "block int, counts binary").collect()  # 2 ** SKETCH_BITS counters, whatever the input
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     for block, raw in added:
-        counts.reshape(-1, 1 << 12)[block] += np.frombuffer(raw, np.int64)
+        counts.reshape(-1, BLOCK)[block] += np.frombuffer(raw, np.int64)
     floor = 2 * counts.mean() + 16
     return np.where(counts <= floor, 0, 1 + np.log2(np.maximum(counts, 1) / floor)).astype(np.uint8)
 
 
+#: Sets of which a task remembers one each by hash, so that copies don't travel.
+LATELY = 1 << 16
+
+
 def _windows(k: int, percent: int, levels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, seen = levels.value, set()
+        level = np.frombuffer(levels.value, np.uint8)
+        seen = np.zeros(LATELY, np.int64)
         for batch in batches:
             for i, j in pieces(batch, "text"):
                 keys, owners, sizes, places = [], [], [], []
@@ -92,11 +120,10 @@ def _windows(k: int, percent: int, levels):
                     n = len(s)
                     if not n:
                         continue
-                    own = int(mix(s).sum(dtype=U).view(np.int64))
-                    if own in seen:
+                    own = set_mark(s)
+                    if seen[own % LATELY] == own:  # a copy of a set met lately in this task; others are dropped in the regions
                         continue
-                    if len(seen) < 1_000_000:  # copies met again in this task add nothing; the rest are dropped in the regions
-                        seen.add(own)
+                    seen[own % LATELY] = own
                     w = window_size(n, percent)
                     at = level[(s >> U(64 - SKETCH_BITS)).astype(np.int64)]
                     low = s[at == 0][:w]
@@ -198,8 +225,9 @@ def _may_link(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for i, (na, nb, x, y) in enumerate(zip(*(batch.column(m).to_pylist() for m in range(2, 6)), strict=True)):
-                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+            sizes, (left, i_), (right, j_) = (batch.column(m).to_numpy() for m in (2, 3)), text_bytes(batch.column(4)), text_bytes(batch.column(5))
+            for i, (na, nb) in enumerate(zip(*(n.tolist() for n in sizes), strict=True)):
+                x, y = left[i_[i] : i_[i + 1]], right[j_[i] : j_[i + 1]]
                 while len(x) > len(y):
                     x = x[: len(x) // 2] | x[len(x) // 2 :]
                 while len(y) > len(x):
@@ -222,7 +250,7 @@ def _asked(k: int, flags, whole: bool):
             for i, j in pieces(batch, "text"):
                 part = batch.slice(i, j - i)
                 sets = list(sets_of(part.column("text"), k))
-                own = pa.array([int(mix(s).sum(dtype=U).view(np.int64)) for s in sets], pa.int64())
+                own = pa.array([set_mark(s) for s in sets], pa.int64())
                 data = pa.array([s.tobytes() if whole else _bitmap(s) for s in sets], pa.binary())
                 yield pa.record_batch([own, part.column("id"), pa.array(map(len, sets), pa.int64()), data], names=["c", "rep", "n", "members" if whole else "bits"])
 
@@ -232,34 +260,40 @@ def _asked(k: int, flags, whole: bool):
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
-            both = [len(np.intersect1d(np.frombuffer(p, U), np.frombuffer(q, U), assume_unique=True)) for p, q in zip(x, y, strict=True)]
-            either = [(len(p) + len(q)) // 8 - i for p, q, i in zip(x, y, both, strict=True)]
-            keep = [m for m, (i, u) in enumerate(zip(both, either, strict=True)) if 100 * i >= percent * u]
-            yield pa.record_batch([pa.array([v[m] for m in keep], t) for v, t in ((a, pa.int64()), (b, pa.int64()), (both, pa.int64()), (either, pa.int64()))], names=["a", "b", "both", "either"])
+            keep, counts = [], []
+            (left, i_), (right, j_) = text_bytes(batch.column(2)), text_bytes(batch.column(3))
+            for i in range(batch.num_rows):
+                x, y = left[i_[i] : i_[i + 1]].view(U), right[j_[i] : j_[i + 1]].view(U)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                either = len(x) + len(y) - both
+                if 100 * both >= percent * either:
+                    keep.append(i)
+                    counts.append((both, either))
+            near = batch.select(["repa", "repb"]).take(pa.array(keep, pa.int64()))
+            yield pa.record_batch([*near.columns, *(pa.array([c[m] for c in counts], pa.int64()) for m in range(2))], names=["a", "b", "both", "either"])
 
     return run
 
 
 def _sets_asked(classes: DataFrame, docs: DataFrame, reps: DataFrame, k: int, whole: bool) -> DataFrame:
     """c, rep, n and the members, or the bitmaps, of the classes (c). Texts are read again where they lie; only what is asked for moves."""
-    asked = cut(reps.join(classes.distinct(), "c", "left_semi"))
+    asked = cut(reps.join(classes.distinct(), "c", "left_semi"), reps.count())
     flags = key_filter(asked.select("rep"), lambda batch: batch.column(0).to_numpy())
     texts = docs.where("id is not null")
     if flags is None:
         texts = texts.join(asked.select(F.col("rep").alias("id")), "id", "left_semi")
     schema = f"c long, rep long, n long, {'members' if whole else 'bits'} binary"
-    return cut(texts.mapInArrow(_asked(k, flags, whole), schema).join(asked, ["c", "rep"], "left_semi"))
+    return cut(in_batches(texts, _asked(k, flags, whole), schema).join(asked, ["c", "rep"], "left_semi"))
 
 
 def _links(pairs: DataFrame, maps: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs of classes that are near enough, by their representatives, with both sizes; exact on whole sets. Sets are made and moved only for pairs that their bitmaps don't rule out."""
     side = lambda df, end, *columns: df.select(F.col("c").alias(end), *(F.col(c).alias(c + end) for c in columns))
     close = pairs.join(side(maps, "a", "n", "bits"), "a").join(side(maps, "b", "n", "bits"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
-    close = cut(close.mapInArrow(_may_link(percent), "a long, b long").distinct())
+    close = cut(in_batches(close, _may_link(percent), "a long, b long").distinct())
     sets = _sets_asked(close.select(F.col("a").alias("c")).union(close.select("b")), docs, reps, k, True)
     both = close.join(side(sets, "a", "rep", "members"), "a").join(side(sets, "b", "rep", "members"), "b").select("repa", "repb", "membersa", "membersb")
-    return cut(both.mapInArrow(_verify(percent), "a long, b long, both long, either long").distinct())
+    return cut(in_batches(both, _verify(percent), "a long, b long, both long, either long").distinct(), close.count())
 
 
 def jaccard_join(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", all_links: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -269,15 +303,17 @@ def jaccard_join(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
 
     With all_links, every linked pair of points is looked at, so that the links are complete; without, the links are those that connect the components.
 
-    Returns (id, n_shingles, component_id) for each row, and (a, b, both, either) with ids a < b. A null or wordless text has an empty set, component_id is its own id, and it links with nothing. Repeated rows come out as often as they came in. An empty table gives empty results. Other columns are not read."""
+    Returns (id, text_key, n_shingles, component_id) for each row, text_key telling rows of one id apart, and (a, b, both, either) with ids a < b. A null or wordless text has an empty set, component_id is its own id, and it links with nothing. Repeated rows come out as often as they came in. An empty table gives empty results. Other columns are not read."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     spark = df.sparkSession
-    described = cut(docs.mapInArrow(_describe(k), "id long, n long, h1 long, h2 long, block int, counts binary"))
-    told = described.where("block is null").select("id", "n", "h1", "h2")
-    reps = cut(told.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep")))
-    levels = spark.sparkContext.broadcast(_levels(described))
-    spread = docs.mapInArrow(_windows(k, percent, levels), "s long, c long, n int, pos int")
-    found = cut(spread.repartition("s").sortWithinPartitions("s", "pos", "c").mapInArrow(_regions(percent), "a long, b long, s long, n int, pos int, family long"))
+    keyed = docs.withColumn("text_key", text_key(F.col("text")))
+    described = cut(in_batches(keyed, _describe(k), "id long, text_key long, n long, h1 long, h2 long, block int, counts binary"))
+    told = described.where("block is null").select("id", "text_key", "n", "h1", "h2")
+    reps = cut(told.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep")), described.count())
+    levels = spark.sparkContext.broadcast(_levels(described).tobytes())
+    spread = in_batches(docs, _windows(k, percent, levels), "s long, c long, n int, pos int")
+    dealt = spread.repartition("s").sortWithinPartitions("s", "pos", "c")
+    found = cut(in_batches(dealt, _regions(percent), "a long, b long, s long, n int, pos int, family long"))
     by_class = reps.select(F.col("h1").alias("c"), "rep")
     pairs = found.where("b is not null").select("a", "b").distinct()
     classes = found.select(F.col("a").alias("c")).union(found.where("b is not null").select("b"))
@@ -286,7 +322,7 @@ def jaccard_join(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     large = found.where("b is null")
     if not large.isEmpty():
         # Regions that one passage makes hold much the same sets, and go by one family, named by the region's first pivot. A pair that shares a small region is among pairs; another one shares large regions only, so these alone count for it.
-        part = components(links)
+        part = components(links, links.count())
         own = F.transform(F.array_sort(F.collect_set(F.struct("pos", "s"))), lambda x: x["s"])
         per = large.groupBy(F.col("a").alias("c")).agg(F.first("n").cast("long").alias("n"), F.min("pos").alias("pos"), own.alias("own"), F.collect_set("family").alias("families"))
         per = per.join(by_class, "c").join(part, F.col("rep") == F.col("node"), "left").select("c", "n", "pos", "own", "families", F.coalesce("component", "rep").alias("k"))
@@ -307,7 +343,7 @@ def jaccard_join(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
         rest = cut(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
         if not rest.isEmpty():
             links = links.union(_links(rest, maps, docs, by_class, k, percent))
-    part = components(links)
+    part = components(links, links.count())
     named = told.join(reps, ["h1", "h2"], "left").join(part, F.col("rep") == F.col("node"), "left")
-    out = named.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component_id"))
+    out = named.select("id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component_id"))
     return out, links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "both", "either")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattice.llm.common import cut
+from lattice.llm.common import cut, text_key
 
 #: Words are what these white-space bytes leave.
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -45,8 +45,8 @@ def mix(df: DataFrame, quality: DataFrame | None = None, cycle: tuple[int, ...]
 
     quality: (id, weight), weights above 0; 1 for documents without a row. A source whose target is n times its size and a rest gives n whole epochs first. The rest is an Efraimidis-Spirakis sample: documents in order of -ln(u) / weight, u a hash of the id, as far as the budget goes; where it ends, one document is taken in part. Sizes are summed by source and key range first, so no task gets a whole source.
 
-    Returns (id, source, size, source_size, target, taken): a row for each row. A null or wordless text has size 0 and takes 0. Null is a source of its own. Ties in the key go by id; rows that are the same throughout are interchangeable. An empty table gives an empty result. Other columns are not read."""
-    sized = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    Returns (id, source, text_key, size, source_size, target, taken): a row for each row; text_key tells rows of one id apart. A null or wordless text has size 0 and takes 0. Null is a source of its own. Ties in the key go by id; rows that are the same throughout are interchangeable. An empty table gives an empty result. Other columns are not read."""
+    sized = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), text_key(F.col(text_col)).alias("text_key"))
     if quality is not None:
         sized = sized.join(quality.toDF("qid", "weight").groupBy("qid").agg(F.max("weight").alias("weight")), F.col("id") == F.col("qid"), "left").drop("qid")
         sized = sized.withColumn("weight", F.coalesce("weight", F.lit(1.0)))
@@ -66,12 +66,12 @@ def mix(df: DataFrame, quality: DataFrame | None = None, cycle: tuple[int, ...]
     ends = ranges.join(plan, same("source", "of")).drop("of").select(F.col("source").alias("of"), F.col("range").alias("r"), "lower", "held", "source_size", "target", "whole", "budget")
     joined = keyed.join(ends, same("source", "of") & (F.col("range") == F.col("r")))
     inner = joined.where((F.col("lower") < F.col("budget")) & (F.col("budget") < F.col("lower") + F.col("held")))
-    inner = inner.withColumn("sofar", F.col("lower") + F.coalesce(F.sum("size").over(W.partitionBy("source", "range").orderBy("key", "id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    inner = inner.withColumn("sofar", F.col("lower") + F.coalesce(F.sum("size").over(W.partitionBy("source", "range").orderBy("key", "id", "text_key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - F.col("sofar")))
     outer = joined.where((F.col("lower") >= F.col("budget")) | (F.col("budget") >= F.col("lower") + F.col("held"))).withColumn("sofar", F.col("lower"))
     whole = F.when(F.col("lower") < F.col("budget"), F.col("size")).otherwise(F.lit(0))
     out = inner.withColumn("more", part).unionByName(outer.withColumn("more", whole))
-    return out.select("id", "source", "size", F.col("source_size").cast("long"), "target", (F.col("size") * F.col("whole") + F.col("more")).cast("long").alias("taken"))
+    return out.select("id", "source", "text_key", "size", F.col("source_size").cast("long"), "target", (F.col("size") * F.col("whole") + F.col("more")).cast("long").alias("taken"))
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:
