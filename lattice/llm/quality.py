@@ -8,15 +8,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lattice.llm.common import IS_SPACE, SYMBOLS, Prefix, U, mix, pieces, text_bytes
+from lattice.llm.common import IS_SPACE, SYMBOLS, Prefix, U, in_batches, mix, pieces, text_bytes
 
-#: Labelled documents that a model is fitted on at most; the rest of the labels stay unused.
-SAMPLE = 8000
+#: Labelled documents that a model is fitted on at most, and bytes of their texts; the rest of the labels stay unused. Texts are taken whole.
+SAMPLE, SAMPLE_BYTES = 8000, 24 << 20
 #: Features are hashed to so many weights, which is all that is broadcast.
 BITS = 18
 SEED = 11
+#: Scores from here on are predicted to be of good quality.
+THRESHOLD = 0.3
 
 _CLASS = np.full(256, ord("a"), np.uint8)
 _CLASS[:128] = np.arange(128)
@@ -99,13 +103,13 @@ class Learner:
 
 def _fit(epochs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)]
-        rows.sort(key=lambda r: (r[0], r[1]))
+        rows = [r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)]  # 8 bytes a feature of SAMPLE_BYTES of text
+        rows.sort()  # rows that are the same throughout may change places
         learner, bias = Learner(), 1 << BITS
-        data = [(np.append(np.frombuffer(at, np.int32), bias), np.append(np.frombuffer(share, np.float32), np.float32(1)).astype(np.float64), label) for _, label, at, share in rows]
         for epoch in range(epochs):
-            for i in np.random.default_rng(SEED + epoch).permutation(len(data)):
-                learner.learn(*data[i])
+            for i in np.random.default_rng(SEED + epoch).permutation(len(rows)):
+                _, label, at, share = rows[i]
+                learner.learn(np.append(np.frombuffer(at, np.int32), bias), np.append(np.frombuffer(share, np.float32).astype(np.float64), 1.0), label)
         yield pa.record_batch([pa.array([learner.weights().astype(np.float32).tobytes()], pa.binary())], names=["weights"])
 
     return run
@@ -115,42 +119,51 @@ def held_out(id_: Column) -> Column:
     return F.crc32(id_.cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE, epochs: int = 4) -> np.ndarray:
-    """The weights learnt from at most `sample` labelled documents, chosen by a hash of their ids, none of them held out.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, epochs: int = 4) -> np.ndarray:
+    """The weights learnt from at most `sample` labelled documents of at most `sample_bytes` in all, chosen by a hash of their ids, none of them held out.
 
-    docs: (id, text); labels: (id, label). Rows without id or label are left out; of several labels of an id, the largest counts. Without any labels every weight is 0."""
+    docs: (id, text); labels: (id, label). Rows without id or label are left out; of several labels of an id, the largest counts. Documents are taken in the order of the hash up to the first that would exceed the bytes, each as a whole. Without any labels every weight is 0."""
     chosen = labels.where("id is not null and label is not null").where(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").cast("int").alias("label"))
     chosen = chosen.join(docs.select("id").distinct(), "id", "left_semi").withColumn("mark", F.xxhash64("id", F.lit(SEED))).orderBy("mark", "id").limit(sample)
-    texts = docs.join(F.broadcast(chosen), "id").select("mark", "label", F.coalesce("text", F.lit("")).alias("text"))  # at most `sample` small rows
-    ready = texts.mapInArrow(_weighed, "mark long, label int, at binary, share binary")
-    fitted = ready.coalesce(1).mapInArrow(_fit(epochs), "weights binary").collect()
+    joined = docs.join(F.broadcast(chosen), "id").select("id", "mark", "label", F.coalesce("text", F.lit("")).alias("text"))  # at most `sample` small rows
+    sizes = joined.groupBy("mark", "id").agg(F.sum(F.octet_length("text")).alias("bytes")).withColumn("sofar", F.sum("bytes").over(W.orderBy("mark", "id")))
+    within = sizes.where(F.col("sofar") <= sample_bytes).select("mark", "id")  # one row for each of at most `sample` ids
+    texts = joined.join(F.broadcast(within), ["mark", "id"], "left_semi").select("mark", "label", "text")
+    ready = in_batches(texts, _weighed, "mark long, label int, at binary, share binary")
+    fitted = in_batches(ready.coalesce(1), _fit(epochs), "weights binary").collect()  # at most sample rows of sample_bytes of text
     return np.frombuffer(fitted[0]["weights"], np.float32) if fitted else np.zeros((1 << BITS) + 1, np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(id, score): the probability of label 1 for each row of (id, text), from its whole text. A null text counts as empty and gets the score of the bias alone."""
-    kind = docs.schema["id"].dataType.simpleString()
+def fit_named(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> np.ndarray:
+    """fit() for tables whose columns have other names."""
+    return fit(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")), sample=sample)
+
+
+def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """docs with score_col after its columns: the probability of label 1 for each row, from its whole text. A null text counts as empty and gets the score of the bias alone. docs has no column score_col."""
     shared = docs.sparkSession.sparkContext.broadcast(weights.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.frombuffer(shared.value, np.float32).astype(np.float64)
         for batch in batches:
-            for i, j in pieces(batch, "text"):
+            for i, j in pieces(batch, text_col):
                 part = batch.slice(i, j - i)
-                f, first = features(part.column("text"))
-                sums = np.append(0.0, np.cumsum(w[f]))
-                n = np.maximum(np.diff(first), 1)
-                x = (sums[first[1:]] - sums[first[:-1]]) * 4.0 / n + w[-1]
-                yield pa.record_batch([part.column("id"), pa.array(1 / (1 + np.exp(-np.clip(x, -35, 35))))], names=["id", "score"])
+                f, first = features(part.column(text_col))
+                n = np.diff(first)
+                total = np.zeros(len(n))
+                if len(f):  # each row's own sum, so that a score doesn't depend on the rows beside it
+                    total[n > 0] = np.add.reduceat(w[f], first[:-1][n > 0])
+                x = total * 4.0 / np.maximum(n, 1) + w[-1]
+                yield pa.record_batch([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(x, -35, 35))))], names=[*part.schema.names, score_col])
 
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, score double")
+    schema = StructType([*docs.schema.fields, StructField(score_col, DoubleType())])
+    return in_batches(docs, run, schema)
 
 
-def classify(df: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
+def classify(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
     """Every document's quality by a model fitted on a bounded sample of the labelled ones.
 
     Returns (id, held_out, score, predicted) for each row; held_out rows (crc32 of the id mod 5 is 0) are never learnt from. Null or empty texts are scored by the bias alone. A null id is not held out. Repeated rows are scored alike. An empty table gives an empty result. No other column of df is read."""
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    weights = fit(docs, labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")), sample=sample)
-    out = score(docs, weights)
+    docs, weights = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), fit_named(df, labels, id_col, text_col, label_col, sample)
+    out = score(docs, weights).drop("text")
     return out.select("id", F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
