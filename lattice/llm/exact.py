@@ -35,18 +35,19 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     recipe = F.transform(chunks(F.col("text")), lambda c: F.xxhash64(c, F.length(c)))
     recipes = docs.select("id", recipe.alias("recipe"), F.sha2("text", 256).alias("text_sha256"))
     recipes = cut(recipes.withColumn("mark", F.xxhash64("recipe", F.size("recipe"))))
-    often = recipes.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
+    # written out, so that the joins with it can be split where one group has a large share of the rows
+    often = cut(recipes.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"), recipes.count())
     copies = recipes.join(often, "mark", "left_semi")
     asked = copies.select("id").distinct()
     met = docs.join(asked, docs["id"].eqNullSafe(asked["id"]), "left_semi").select(F.explode(chunks(F.col("text"))).alias("chunk"))
     contents = met.select(F.xxhash64("chunk", F.length("chunk")).alias("h"), "chunk").distinct()
-    clashes = cut(contents.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    clashes = cut(contents.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), 0)  # none, but for a chance of one in 2 ** 64
     if not clashes.isEmpty():
         recipes = _numbered(docs, recipes, contents, clashes)
     else:
         recipes = recipes.withColumn("numbers", F.array().cast("array<int>"))
     groups = recipes.groupBy("mark", "recipe", "numbers").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    many = groups.where("group_size > 1").select(F.col("mark").alias("m"), F.col("recipe").alias("r"), F.col("numbers").alias("k"), "keep_id", "group_size")
+    many = cut(groups.where("group_size > 1").select(F.col("mark").alias("m"), F.col("recipe").alias("r"), F.col("numbers").alias("k"), "keep_id", "group_size"), recipes.count())
     same = (F.col("mark") == F.col("m")) & (F.col("recipe") == F.col("r")) & (F.col("numbers") == F.col("k"))
     out = recipes.join(many, same, "left")
     single = F.col("group_size").isNull()
