@@ -36,11 +36,13 @@ def slot(key: Column, slots: int = SLOTS) -> Column:
     return (F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 12), 16, 10).cast("long") % slots).cast("int")
 
 
-def shard(df: DataFrame, shards: list[str], key_col: str = "doc_id", slots: int = SLOTS) -> DataFrame:
-    """df's rows with slot and shard (a name) after the columns of df; a column of df with such a name is replaced.
-
-    A broadcast of the fixed table places every row without a shuffle. When a shard goes, few keys of other shards move. A null key counts as an empty one. Equal keys go to one shard. An empty table gives an empty result."""
-    spark = df.sparkSession
-    table = spark.createDataFrame([(i, shards[s]) for i, s in enumerate(lookup_table(shards, slots))], "_slot int, shard string")
-    kept = df.drop("slot", "shard")
-    return kept.withColumn("slot", slot(kept[key_col], slots)).join(F.broadcast(table), F.col("slot") == F.col("_slot")).drop("_slot")
+def shard(df: DataFrame, shards: list[str], key_col: str = "doc_id", slots: int = SLOTS, slot_col: str = "slot", shard_col: str = "shard") -> DataFrame:
+    """df's rows with slot_col (int) and shard_col (a name) after the columns of df.
+
+    A broadcast of the fixed table places every row without a shuffle. When a shard goes, few keys of other shards move. A null key counts as an empty one. Equal keys, and so repeated rows, go to one shard. No other column of df is read, however long its values. A column of df named slot_col or shard_col is replaced, even where it is the key. An empty table gives an empty result."""
+    own = {c.lower() for c in df.columns}
+    at, of, name = (next(n for n in (f"_{stem}{i or ''}" for i in range(len(own) + 1)) if n not in own) for stem in ("at", "of", "name"))
+    table = df.sparkSession.createDataFrame([(i, shards[s]) for i, s in enumerate(lookup_table(shards, slots))], f"{of} int, {name} string")
+    placed = df.withColumn(at, slot(df[key_col], slots)).join(F.broadcast(table), F.col(at) == F.col(of))
+    kept = [df[c] for c in df.columns if c.lower() not in (slot_col.lower(), shard_col.lower())]
+    return placed.select(*kept, F.col(at).alias(slot_col), F.col(name).alias(shard_col))
