@@ -12,14 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattice.llm.common import cut
+from lattice.llm.common import cut, in_batches
 
 #: Special token of the vocabulary, its id, and the id that ends a document.
 SPECIAL, END = {"<|endoftext|>": 50256}, 0
 #: Pieces of one length that one task numbers.
 NUMBERED = 1000
-#: Islands, rounds with a migration after each, and crossovers of an island in a round.
-ISLANDS, ROUNDS, CROSSINGS = 6, 2, 24
+#: Islands, rounds with a migration after each, crossovers of an island in a round, and how many of them it makes even if the first plans are as good as can be.
+ISLANDS, ROUNDS, CROSSINGS, LEAST = 6, 4, 24, 8
+#: Plans that an island starts from, each in an order of lengths disturbed so much; plans it keeps, and sends on.
+DISTURBED, KEPT, ELITES = (0.3, 1.0, 1.0, 5.0), 8, 2
+#: Share of a sequence from which on it counts as well filled.
+FILLED = 0.9999
 
 Bins = dict[tuple[int, ...], int]
 _encoders: dict[str, object] = {}
@@ -108,6 +112,7 @@ class Packer:
         return out
 
     def seed_bins(self, noise: float) -> Bins:
+        """A plan to start from: best fit in a disturbed order of lengths, which leaves room for improvement; without noise, best-fit decreasing."""
         order = sorted(self.counts, key=lambda k: -k * (1 + noise * self.rng.random()))
         return self.fit([(k, self.counts[k]) for k in order], {})
 
@@ -119,7 +124,7 @@ class Packer:
         return -self.number(bins), sum(n * (sum(c) / self.capacity) ** 2 for c, n in bins.items())
 
     def cross(self, mother: Bins, father: Bins) -> Bins:
-        """Whole well-filled bins of the father enter the mother's; hers that hold an item twice go, and what they leave homeless is fitted anew."""
+        """A section of the father's well-filled bins enters the child whole; the mother's well-filled bins follow as far as no item comes twice; all displaced items are best-fitted, longest first."""
         left, child = dict(self.counts), {}
 
         def take(content: tuple[int, ...], n: int) -> None:
@@ -132,12 +137,12 @@ class Packer:
                 for k, m in need.items():
                     left[k] -= n * m
 
-        filled = [c for c in father if sum(c) >= 0.995 * self.capacity]
-        for c in filled:
-            if self.rng.random() < 0.5:
-                take(c, max(1, int(father[c] * self.rng.random())))
-        for c in sorted(mother, key=lambda c: -sum(c)):
-            if sum(c) >= 0.98 * self.capacity or self.rng.random() < 0.7:
+        filled = sorted((c for c in father if sum(c) >= FILLED * self.capacity), key=lambda c: (-len(c), c))
+        begin, end = sorted(self.rng.choice(len(filled) + 1, 2)) if filled else (0, 0)
+        for c in filled[begin:end]:
+            take(c, father[c])
+        for c in sorted(mother, key=lambda c: (-sum(c), c)):
+            if sum(c) >= FILLED * self.capacity:
                 take(c, mother[c])
         return self.fit([(k, left[k]) for k in sorted(left, reverse=True) if left[k]], child)
 
@@ -151,41 +156,49 @@ def _from_text(text: str) -> Bins:
 
 
 def _evolve(counts: dict[int, int], capacity: int, crossings: int):
+    """Each island: its plans cross, the best are kept. A plan's generation is the number of crossovers behind it, 0 for one that an island started from."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for island, start, elites in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 packer = Packer(counts, capacity, start)
-                herd = [_from_text(e) for e in elites]
-                herd += [packer.seed_bins(0.0 if island == 0 and not i and not herd else 0.15 * i + 0.02 * island) for i in range(4)] if len(herd) < 4 else []
-                for _ in range(crossings):
-                    herd.sort(key=packer.fitness, reverse=True)
-                    if packer.number(herd[0]) <= packer.least:
+                rank = lambda plan: (*packer.fitness(plan[0]), plan[1])  # noqa: B023, E731
+                herd = [(_from_text(e["plan"]), e["generation"]) for e in elites] + [(packer.seed_bins(x), 0) for x in DISTURBED]
+                for n in range(crossings):
+                    herd = sorted(herd, key=rank, reverse=True)[:KEPT]
+                    if n >= LEAST and herd[0][1] and packer.number(herd[0][0]) <= packer.least:
                         break
-                    a, b = packer.rng.choice(len(herd), 2, replace=False)
-                    herd.append(packer.cross(herd[min(a, b)], herd[max(a, b)]))
-                    herd = sorted(herd, key=packer.fitness, reverse=True)[:8]
-                yield pa.record_batch([pa.array([island], pa.int32()), pa.array([_to_text(max(herd, key=packer.fitness))], pa.string())], names=["island", "best"])
+                    a, b = sorted(packer.rng.choice(len(herd), 2, replace=False))
+                    herd.append((packer.cross(herd[a][0], herd[b][0]), max(herd[a][1], herd[b][1]) + 1))
+                best = sorted(herd, key=rank, reverse=True)[:ELITES]
+                yield pa.record_batch([pa.array([island] * len(best), pa.int32()), pa.array([_to_text(p) for p, _ in best], pa.string()), pa.array([g for _, g in best], pa.int32())], names=["island", "plan", "generation"])
 
     return run
 
 
-def plan_bins(spark, counts: dict[int, int], capacity: int, islands: int = ISLANDS, rounds: int = ROUNDS, crossings: int = CROSSINGS) -> Bins:
-    """The best bins found for so many items of each length. Items of one length are alike, so counts (at most capacity numbers) are all that islands need, and bins with their numbers all they send."""
+def plan_bins(spark, counts: dict[int, int], capacity: int, islands: int = ISLANDS, rounds: int = ROUNDS, crossings: int = CROSSINGS) -> tuple[Bins, int]:
+    """The best bins found for so many items of each length, and the number of crossovers behind them.
+
+    Items of one length are alike, so counts (at most capacity numbers) are all that islands need, and bins with their numbers all they send. After each round every island gets the elites of two others; the search ends when no plan can have fewer bins."""
     whole = counts.get(capacity, 0)
     rest = {k: n for k, n in counts.items() if k < capacity and n}
-    best: Bins = {}
+    best, generation = {}, 0
     if rest:
         packer, elites = Packer(rest, capacity, 0), []
+        schema = "island int, start int, elites array<struct<plan:string,generation:int>>"
         for turn in range(rounds):
-            rows = [(i, turn * islands + i, [elites[(i + s) % len(elites)] for s in range(min(4, len(elites)))]) for i in range(islands)]
-            found = spark.createDataFrame(rows, "island int, start int, elites array<string>").repartition(islands, "island").mapInArrow(_evolve(rest, capacity, crossings), "island int, best string").collect()
-            elites = [r["best"] for r in sorted(found)]
-            best = max((_from_text(e) for e in elites), key=packer.fitness)
+            rows = [(i, turn * islands + i, [e for s in (1, 2) for e in elites[(i + s) % islands]] if elites else []) for i in range(islands)]
+            evolved = in_batches(spark.createDataFrame(rows, schema).repartition(islands, "island"), _evolve(rest, capacity, crossings), "island int, plan string, generation int")
+            elites = [[] for _ in range(islands)]
+            for r in sorted(evolved.collect()):  # ELITES plans of each island, of a size that lengths bound, not items
+                elites[r["island"]].append((r["plan"], r["generation"]))
+            plans = [(_from_text(p), g) for held in elites for p, g in held]
+            best, generation = max(plans, key=lambda plan: (*packer.fitness(plan[0]), plan[1]))
             if packer.number(best) <= packer.least:
                 break
     if whole:
         best[(capacity,)] = whole
-    return best
+    return best, generation
 
 
 def slots(bins: Bins) -> dict[int, list[np.ndarray]]:
@@ -231,11 +244,12 @@ def pack(df: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col:
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    cut_up = cut(docs.mapInArrow(_pieces(path or vocabulary(), capacity), f"id {kind}, piece int, start long, length long, ids_crc32 long"))
+    cut_up = cut(in_batches(docs, _pieces(path or vocabulary(), capacity), f"id {kind}, piece int, start long, length long, ids_crc32 long"))
     counts = {r["length"]: r["n"] for r in cut_up.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     if not counts:
         return cut_up.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    shared = spark.sparkContext.broadcast(slots(plan_bins(spark, counts, capacity)))
+    bins, _ = plan_bins(spark, counts, capacity)
+    shared = spark.sparkContext.broadcast(slots(bins))
     parts = spark.createDataFrame([(k, max(1, -(-n // NUMBERED))) for k, n in counts.items()], "k long, parts int")
     dealt = cut_up.join(F.broadcast(parts), F.col("length") == F.col("k")).withColumn("part", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.col("parts")).cast("int"))
     sizes = dealt.groupBy("k", "part").agg(F.count("*").alias("n"))
@@ -243,4 +257,4 @@ def pack(df: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col:
     number = F.row_number().over(W.partitionBy("length", "part").orderBy("id", "piece", "start", "ids_crc32")) - 1
     ranked = dealt.withColumn("number", number).join(F.broadcast(sizes) if len(counts) + sum(counts.values()) // NUMBERED < 50_000 else sizes, (F.col("length") == F.col("k2")) & (F.col("part") == F.col("p2")))
     ranked = ranked.select("id", "piece", "start", "length", "ids_crc32", (F.col("number") + F.col("before")).alias("rank"))
-    return ranked.mapInArrow(_place(shared), f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return in_batches(ranked, _place(shared), f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
