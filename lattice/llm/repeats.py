@@ -1,6 +1,6 @@
 """Passages that occur more than once: windows of W symbols (words or bytes), found through content-defined anchors.
 
-Each window is anchored at its least gram, so equal windows have equal anchors. Neighbouring windows with one anchor form a run, whose whole stretch of text has a key. Runs meet by anchor: equal keys settle whole runs, and only runs that share an anchor but not their key are looked into further."""
+Each window is anchored at its least gram, so equal windows have equal anchors. Neighbouring windows with one anchor form a run, whose whole stretch of text has a key. Runs meet by anchor: equal stretches are counted and kept once, and the different stretches of an anchor are compared with each other, by factors (words) or by intervals of suffixes (bytes). Where an anchor has too many different stretches for one task, it grows by the symbols beside it, so that its windows fall into smaller groups, again and again up to whole windows."""
 
 from __future__ import annotations
 
@@ -9,10 +9,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattice.llm.common import IS_SPACE, SYMBOLS, Prefix, U, cut, key_filter, may_have, mix, pieces, shingles, text_bytes, words
+from lattice.llm.common import BATCH, IS_SPACE, SYMBOLS, Prefix, U, cut, in_batches, key_filter, may_have, mix, pieces, release, shingles, text_bytes, words
 
 
 def least_places(h: np.ndarray, w: int) -> np.ndarray:
@@ -36,25 +37,24 @@ def runs_of(symbols: np.ndarray, prefix: Prefix, base: int, grams: np.ndarray, w
     return grams[place[first]], prefix.of(base + first, base + first + count - 1 + window), first, count, place[first]
 
 
-def _symbols(column: pa.Array, by: str) -> tuple[np.ndarray, np.ndarray]:
-    if by == "word":
-        hashes, _, _, first = words(column, lower=False)
-        return hashes, first
-    raw, offsets = text_bytes(column)
-    return SYMBOLS[raw], offsets
-
-
 def each_run(batch: pa.RecordBatch, by: str, window: int, gram: int) -> Iterator[tuple]:
-    """For each text with a window: its row, where it begins, its symbols' prefix hashes, and its runs."""
+    """For each text with a window: its row, its runs, and what gives the text from one symbol up to another."""
     for i, j in pieces(batch, "text"):
-        symbols, first = _symbols(batch.column("text").slice(i, j - i), by)
+        column = batch.column("text").slice(i, j - i)
+        raw, first = text_bytes(column)
+        if by == "word":
+            symbols, start, end, first = words(column, lower=False)
+            stretch = lambda a, b: b" ".join(raw[start[a] : end[b - 1]].tobytes().split())  # noqa: E731 # bytes split at the same white space
+        else:
+            symbols = SYMBOLS[raw]
+            stretch = lambda a, b: raw[a:b].tobytes()
         if len(symbols) < window:
             continue
         prefix = Prefix(symbols)
         grams = shingles(symbols, gram) if gram < 9 else prefix.grams(gram)
         for row in np.flatnonzero(np.diff(first) >= window):
             a, b = int(first[row]), int(first[row + 1])
-            yield i + int(row), a, prefix, runs_of(symbols[a:b], prefix, a, grams[a : b - gram + 1], window, gram)
+            yield i + int(row), runs_of(symbols[a:b], prefix, a, grams[a : b - gram + 1], window, gram), lambda x, y, a=a, stretch=stretch: stretch(a + x, a + y)
 
 
 #: Rows that a task compares with each other before they are dealt out, and copies of a run among them that make it worth it.
@@ -84,15 +84,12 @@ def _runs(by: str, window: int, gram: int, every: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def out():
-            m, key, who, what = (np.concatenate(x) for x in zip(*held, strict=True))
-            done = _spare(m, key, who, what, 2 if every else 1)
-            m = np.where(done, run_identity(who, what).view(np.int64), m)
-            return pa.record_batch([pa.array(x) for x in (m, key, who, what, done)], names=["m", "key", "id", "run", "done"])
+        def out() -> pa.RecordBatch:
+            return run_batch(*(np.concatenate(x) for x in zip(*held, strict=True)), every)
 
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
-            for row, _, _, (m, key, first, count, _) in each_run(batch, by, window, gram):
+            for row, (m, key, first, count, _), _ in each_run(batch, by, window, gram):
                 held.append((m.view(np.int64), key.view(np.int64), np.full(len(m), ids[row], np.int64), (first << 20) | count))
                 size += len(m)
                 if size > LOCALLY:
@@ -104,10 +101,17 @@ def _runs(by: str, window: int, gram: int, every: bool):
     return run
 
 
+def run_batch(m: np.ndarray, key: np.ndarray, who: np.ndarray, what: np.ndarray, every: bool) -> pa.RecordBatch:
+    done = _spare(m, key, who, what, 2 if every else 1)
+    m = np.where(done, run_identity(who, what).view(np.int64), m)
+    return pa.record_batch([pa.array(x) for x in (m, key, who, what, done)], names=["m", "key", "id", "run", "done"])
+
+
 RUN = "m long, key long, id long, run long, done boolean"
+STATE = "m long, id long, run long, state int"
 
 
-#: What is known of a run: all its windows are covered; its windows are to be compared with those of other runs.
+#: What is known of a run: all its windows are covered; its stretch is to be compared with others of its anchor.
 COVERED, OPEN = 1, 2
 
 
@@ -187,7 +191,7 @@ def open_runs(docs: DataFrame, opened: DataFrame, produce, schema: str) -> DataF
             for batch in batches:
                 yield from produce(batch, test)
 
-        return docs.mapInArrow(run, schema)
+        return in_batches(docs, run, schema)
     asked = opened.groupBy("id").agg(F.collect_set(F.shiftright("run", 20)).alias("first"))
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,67 +201,120 @@ def open_runs(docs: DataFrame, opened: DataFrame, produce, schema: str) -> DataF
                 per.setdefault(who, set()).update(firsts)
             yield from produce(batch, lambda who, first: np.isin(first, list(per[int(who)])))
 
-    return docs.join(asked, "id").mapInArrow(told, schema)
+    return in_batches(docs.join(asked, "id"), told, schema)
+
+
+SEGMENT = "m long, id long, first long, count int, place int, gram int, text binary"
+KEYED = f"{SEGMENT}, key long"
+#: Different stretches of an anchor that meet in one task; of an anchor with more, longer anchors are made.
+TOGETHER = 4096
+
 
+def _segment_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [(x.split(" ")[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split(" ")[1]]) for x in KEYED.split(", ")][: len(rows[0])]
+    return pa.record_batch([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], names=[n for n, _ in kinds])
+
+
+def _in_parts(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Batches of rows of about BATCH bytes."""
+    out, size = [], 0
+    for r in rows:
+        out.append(r)
+        size += 100 + len(r[6])
+        if size > BATCH:
+            yield _segment_batch(out)
+            out, size = [], 0
+    if out:
+        yield _segment_batch(out)
 
-def _windows(by: str, window: int, gram: int):
-    """The hash of each window of the runs asked for."""
+
+def _segments(by: str, window: int, gram: int):
+    """The stretches of text of the runs asked for, with the place of their anchor."""
 
     def produce(batch: pa.RecordBatch, test) -> Iterator[pa.RecordBatch]:
         ids = batch.column("id").to_numpy(zero_copy_only=False)
-        out: list[tuple] = []
-        for row, base, prefix, (_, _, first, count, _) in each_run(batch, by, window, gram):
-            hit = test(ids[row], first)
-            if hit.any():
-                f, c = first[hit], count[hit]
-                at = np.repeat(f - np.append(0, np.cumsum(c)[:-1]), c) + np.arange(c.sum())
-                out.append((prefix.of(base + at, base + at + window).view(np.int64), np.full(len(at), ids[row], np.int64), at))
-            if sum(len(x[0]) for x in out) > 200_000:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["h", "id", "at"])
-                out = []
-        if out:
-            yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["h", "id", "at"])
+
+        def rows() -> Iterator[tuple]:
+            for row, (m, _, first, count, place), text in each_run(batch, by, window, gram):
+                for i in np.flatnonzero(test(ids[row], first)).tolist():
+                    f, c = int(first[i]), int(count[i])
+                    yield int(m[i].view(np.int64)), int(ids[row]), f, c, int(place[i]) - f, gram, text(f, f + c - 1 + window)
+
+        yield from _in_parts(rows())
 
     return produce
 
 
-def _repeated(every: bool):
-    """Rows come ordered by hash, id, place: the windows seen before, or with every one of them those seen twice."""
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    raw, at = text_bytes(batch.column("text"))
+    for i, head in enumerate(zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True)):
+        yield *head, raw[at[i] : at[i + 1]].tobytes()
+
+
+def longer_anchors(rows: Iterator[tuple], by: str, window: int) -> Iterator[tuple]:
+    """Each stretch in two at most, with anchors grown by about half of what a window has beside them: to the left for windows that hold so much there, to the right for the others. Equal windows have their anchor at one place, so they still meet."""
+    for _, who, first, count, place, gram, text in rows:
+        symbols = text.split(b" ") if by == "word" else text
+        room = window - gram
+        left = (room + 1) // 2
+        right = room - left + 1
+        n = min(count, place - left + 1)  # windows with enough before the anchor
+        for a, c, at, size in ((0, n, place - left, gram + left), (max(n, 0), count - max(n, 0), place - max(n, 0), gram + right)):
+            if c > 0:
+                part = symbols[a : a + c - 1 + window]
+                anchor, part = part[at : at + size], part if by == "byte" else b" ".join(part)
+                m = xxhash.xxh64_intdigest(anchor if by == "byte" else b" ".join(anchor), seed=size * 2 + (a > 0 or n <= 0))
+                yield m - (1 << 63), who, first + a, c, at, size, part, xxhash.xxh64_intdigest(part, seed=1) - (1 << 63)
+
 
+def _longer(by: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, before = None, None
+        for batch in batches:
+            yield from _in_parts(longer_anchors(_rows(batch), by, window))
+
+    return run
 
-        def work(rows, end):
-            nonlocal before
-            new = np.ones(len(rows[0]), bool)
-            new[1:] = np.any([x[1:] != x[:-1] for x in rows], axis=0)
-            h, who, at = (x[new] for x in rows)
-            old = np.zeros(len(h), bool)
-            old[1:] = h[1:] == h[:-1]
-            if before is not None:
-                old[0] = h[0] == before
-            hit = old.copy()
-            if every:
-                hit[:-1] |= old[1:]
-            n = len(h) if end else len(h) - 1
-            hit = hit[:n]
-            if n:
-                before = h[n - 1]
-            if hit.any():
-                yield pa.record_batch([pa.array(who[:n][hit]), pa.array((at[:n][hit] << 20) | 1), pa.array(np.full(int(hit.sum()), COVERED, np.int32))], names=["id", "run", "state"])
 
+def _as_runs(every: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [batch.column(i).to_numpy() for i in range(3)]
-            if last is not None:
-                rows = [np.concatenate(x) for x in zip(last, rows, strict=True)]
-            yield from work(rows, False)
-            last = [x[-1:] for x in rows]
-        if last is not None:
-            yield from work(last, True)
+            m, key, who, first, count = (batch.column(n).to_numpy().astype(np.int64) for n in ("m", "key", "id", "first", "count"))
+            yield run_batch(m, key, who, (first << 20) | count, every)
 
     return run
 
 
+def covered_runs(texts: DataFrame, by: str, window: int, gram: int, every: bool, meet) -> DataFrame:
+    """(id, run, state): the runs whose windows all begin earlier as well (or, with every, anywhere else as well).
+
+    meet gets the different stretches of an anchor, in order of anchor, id and place, TOGETHER of each at most."""
+    deal = lambda runs: cut(in_batches(runs.repartition("m").sortWithinPartitions("m", "key", "id", "run"), _settle(every), STATE))
+    settled = deal(in_batches(texts, _runs(by, window, gram, every), RUN))
+    found = settled.select("id", "run", "state")
+    opened = settled.where(F.col("state").bitwiseAND(OPEN) > 0).select("id", "run")
+    segments = cut(open_runs(texts, opened, _segments(by, window, gram), SEGMENT))
+    while True:
+        crowded = cut(segments.groupBy("m").agg(F.count("*").alias("n")).where(F.col("n") > TOGETHER).select("m"), segments.count() // TOGETHER)
+        some = not crowded.isEmpty()
+        few = segments.join(crowded, "m", "left_anti") if some else segments
+        found = found.union(cut(in_batches(few.repartition("m").sortWithinPartitions("m", "id", "first"), meet(window), STATE)).select("id", "run", "state"))
+        if not some:
+            release(segments, crowded)
+            return found
+        longer = cut(in_batches(segments.join(crowded, "m", "left_semi"), _longer(by, window), KEYED))
+        settled = deal(in_batches(longer, _as_runs(every), RUN))
+        found = found.union(settled.select("id", "run", "state"))
+        opened = settled.where(F.col("state").bitwiseAND(OPEN) > 0).select("id", F.shiftright("run", 20).alias("first"), F.col("run").bitwiseAND((1 << 20) - 1).cast("int").alias("count"))
+        release(segments, crowded)
+        segments = cut(longer.join(opened.distinct(), ["id", "first", "count"], "left_semi").select(*(x.split(" ")[0] for x in SEGMENT.split(", "))))
+        release(longer)
+
+
+def state_batch(m: int, ids: list[int], first: list[int], count: list[int]) -> pa.RecordBatch:
+    runs = [(f << 20) | c for f, c in zip(first, count, strict=True)]
+    return pa.record_batch([pa.array([m] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(runs, pa.int64()), pa.array([COVERED] * len(ids), pa.int32())], names=["m", "id", "run", "state"])
+
+
 def covered_mask(n: int, runs: np.ndarray, window: int) -> np.ndarray:
     """Which of n symbols the windows of runs cover."""
     first, count = runs >> 20, runs & 0xFFFFF
@@ -340,32 +397,79 @@ def without(df: DataFrame, flags: DataFrame, apply, columns: str) -> DataFrame:
             yield out.select(names)
 
     per = flags.where(F.col("state").bitwiseAND(COVERED) > 0).groupBy("id").agg(F.collect_list("run").alias("runs"))
-    return df.join(per, "id", "left").mapInArrow(pruned, ", ".join(kinds[n] for n in names))
+    return in_batches(df.join(per, "id", "left"), pruned, ", ".join(kinds[n] for n in names))
+
+
+class Block:
+    """The reference that later stretches of an anchor are parsed against: windows of earlier ones, and where each first began."""
+
+    def __init__(self, window: int) -> None:
+        self.window, self.held = window, {}
+
+    def parse(self, words_: list[bytes]) -> list[tuple[int, int]]:
+        """Factors of a stretch as (first window, windows), greedily from left to right: each is as long as its reference goes on alike. The window after a factor crosses the factor's end, and is looked up like any other. Then the stretch joins the block."""
+        n = self.window
+        windows = [b" ".join(words_[s : s + n]) for s in range(len(words_) - n + 1)]
+        out, s = [], 0
+        while s < len(windows):
+            if (at := self.held.get(windows[s])) is None:
+                s += 1
+                continue
+            reference, r = at
+            size = 1
+            while s + size < len(windows) and r + size + n <= len(reference) and reference[r + size + n - 1] == words_[s + size + n - 1]:
+                size += 1
+            out.append((s, size))
+            s += size
+        for s, w in enumerate(windows):
+            self.held.setdefault(w, (words_, s))
+        return out
+
+
+def _factored(window: int):
+    """Rows come ordered by anchor, id, place; each anchor has a block of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, last, block = None, None, Block(window)
+        for batch in batches:
+            ids, firsts, counts = [], [], []
+            for m, who, first, _, _, _, text in _rows(batch):
+                if m != here:
+                    here, block = m, Block(window)
+                elif (who, first) == last:  # a repeated row is the same run
+                    continue
+                last = (who, first)
+                for s, n in block.parse(text.split(b" ")):
+                    ids.append(who)
+                    firsts.append(first + s)
+                    counts.append(n)
+            if ids:
+                yield state_batch(0, ids, firsts, counts)
+
+    return run
 
 
 def substring_dedup(df: DataFrame, window: int = 20, gram: int = 5, id_col: str = "doc_id", text_col: str = "text", columns: str = "id, n_symbols, n_removed, n_spans, kept_sha256, spans, kept") -> DataFrame:
     """Each text without the words of every window of `window` words that also begins earlier (smaller id, or earlier in the same text).
 
-    In place of a greedy longest-match parse, texts are split into stretches with one anchor, which are dealt out by anchor; a stretch met before is settled as a whole by its hash. The windows of stretches left open are compared by window hash. Neighbouring repeats join to the removed spans.
+    A relative Lempel-Ziv parse against reference blocks that are dealt out by anchor: a factor that is long enough holds a window, and a window can only match within the block of its anchor, so each stretch of a text is parsed against that one block. A stretch that equals an earlier one is one factor, and is settled where stretches are counted. The others are factored greedily against the earlier stretches of their block (Block); windows across the ends of factors are looked up too. Factors of at least `window` words become spans; neighbouring ones join.
 
-    Returns id, n_symbols (words), n_removed, n_spans, kept_sha256, spans ([first, end) in words), kept (words joined by a space). Null or empty texts have no words. Rows that repeat an id are taken as one text would be: their windows at equal places count as one. An empty table gives an empty result. Other columns are not read."""
+    Returns id, n_symbols (words), n_removed, n_spans, kept_sha256, spans ([first, end) in words), kept (words joined by a space). Null or empty texts have no words, and texts are read whole, however long. Rows that repeat an id are taken as one text would be: their windows at equal places count as one. A row without an id is no reference and stays as it is. An empty table gives an empty result. Other columns are not read. gram is at most window."""
+    if not 0 < gram <= window:
+        raise ValueError("a gram has at most as many words as a window")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    runs = docs.where("id is not null").mapInArrow(_runs("word", window, gram, False), RUN)
-    settled = cut(runs.repartition("m").sortWithinPartitions("m", "key", "id", "run").mapInArrow(_settle(False), "m long, id long, run long, state int"))
-    opened = settled.where(F.col("state").bitwiseAND(OPEN) > 0).select("id", "run")
-    rows = open_runs(docs.where("id is not null"), opened, _windows("word", window, gram), "h long, id long, at long")
-    more = cut(rows.repartition("h").sortWithinPartitions("h", "id", "at").mapInArrow(_repeated(False), "id long, run long, state int"))
-    return without(docs, settled.select("id", "run", "state").union(more), _apply_words(window), columns)
+    found = covered_runs(docs.where("id is not null"), "word", window, gram, False, _factored)
+    return without(docs, found, _apply_words(window), columns)
 
 
-#: Occurrences of an anchor whose contexts are expanded together; a more frequent anchor goes by window hashes, which are dealt out one by one.
-TOGETHER = 4096
 #: Occurrences that one expansion takes at once.
-AT_ONCE = 16384
+AT_ONCE = 8192
 
 
 def _context_lcp(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Length of the common prefix of each two rows; 0 fills up a row."""
+    if not a.shape[1]:
+        return np.zeros(len(a), np.int64)
     differ = (a != b) | (a == 0)
     return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
 
@@ -410,38 +514,6 @@ def expand_intervals(group: np.ndarray, left: np.ndarray, right: np.ndarray) ->
     return out
 
 
-def _segments(window: int, gram: int):
-    """The stretches of text of the runs asked for, with the place of their anchor."""
-
-    def produce(batch: pa.RecordBatch, test) -> Iterator[pa.RecordBatch]:
-        ids = batch.column("id").to_numpy(zero_copy_only=False)
-        out: list[tuple] = []
-        last, raw = -1, b""
-        for row, _, _, (m, _, first, count, place) in each_run(batch, "byte", window, gram):
-            hit = np.flatnonzero(test(ids[row], first))
-            if len(hit):
-                if row != last:
-                    last, raw = row, batch.column("text")[row].as_buffer().to_pybytes()
-                for i in hit.tolist():
-                    f, c = int(first[i]), int(count[i])
-                    out.append((int(m[i].view(np.int64)), int(ids[row]), f, c, int(place[i]) - f, raw[f : f + c - 1 + window]))
-            if len(out) > 5000:
-                yield _segment_batch(out)
-                out = []
-        if out:
-            yield _segment_batch(out)
-
-    return produce
-
-
-SEGMENT = "m long, id long, first long, count int, place int, text binary"
-
-
-def _segment_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["m", "id", "first", "count", "place", "text"])
-
-
 def _contexts(texts: list[bytes], place: np.ndarray, gram: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     left, right = np.zeros((len(texts), width), np.uint8), np.zeros((len(texts), width), np.uint8)
     for i, (t, p) in enumerate(zip(texts, place.tolist(), strict=True)):
@@ -452,14 +524,17 @@ def _contexts(texts: list[bytes], place: np.ndarray, gram: int, width: int) -> t
     return left, right
 
 
-def _expanded(window: int, gram: int):
+def _expanded(window: int):
     """Rows come ordered by anchor, id, place: the windows of each that recur in its group."""
-    width = window - gram
 
     def work(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         rows = [r for i, r in enumerate(rows) if not i or r[:3] != rows[i - 1][:3]]  # a repeated row is the same run
+        for gram in sorted({r[5] for r in rows}):
+            yield from expand(gram, [r for r in rows if r[5] == gram])
+
+    def expand(gram: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         m, ids, first, count, place = (np.array([r[i] for r in rows], np.int64) for i in range(5))
-        left, right = _contexts([r[5] for r in rows], place, gram, width)
+        left, right = _contexts([r[6] for r in rows], place, gram, window - gram)
         group = np.cumsum(np.append(True, m[1:] != m[:-1]))
         seen = expand_intervals(group, left, right)
         at, depth = np.nonzero(seen)
@@ -472,12 +547,12 @@ def _expanded(window: int, gram: int):
             fresh = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)))
             n = np.diff(np.append(fresh, len(at)))
             who = at[fresh]
-            yield pa.record_batch([pa.array(ids[who]), pa.array(((first[who] + start[fresh]) << 20) | n), pa.array(np.full(len(who), COVERED, np.int32))], names=["id", "run", "state"])
+            yield state_batch(0, ids[who].tolist(), (first[who] + start[fresh]).tolist(), n.tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for r in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for r in _rows(batch):
                 if len(held) >= AT_ONCE and r[0] != held[-1][0]:
                     yield from work(held)
                     held = []
@@ -491,20 +566,11 @@ def _expanded(window: int, gram: int):
 def byte_dedup(df: DataFrame, window: int = 400, gram: int = 32, id_col: str = "doc_id", text_col: str = "text", columns: str = "id, n_symbols, n_removed, n_spans, kept_sha256, spans, kept") -> DataFrame:
     """Each text without the bytes of every string of `window` bytes that also begins anywhere else.
 
-    Texts meet by anchor. Where their whole stretches around it are equal, that settles it. Where they aren't, the contexts of an anchor's occurrences are put in suffix order and their intervals expanded backwards, breadth first, up to the length of a window (expand_intervals). Anchors with more than TOGETHER different contexts go by the hashes of their windows instead, which no single task has to hold.
+    Suffixes are dealt out by anchor, so that equal strings meet, and stretches that are equal throughout are counted and kept once, as an interval that needs no expansion. The other occurrences of an anchor are put in suffix order and their intervals expanded backwards, breadth first, up to the length of a window (expand_intervals). An anchor with more than TOGETHER different stretches is first grown by the symbols beside it, which splits its interval over tasks.
 
-    Returns id, n_symbols (bytes), n_removed, n_spans (maximal removed stretches), kept_sha256 (of the remaining bytes), spans, kept (where a span cut a character, its remaining bytes are left out of this text). Null counts as empty. Rows that repeat an id count as different texts only where their places differ. An empty table gives an empty result. Other columns are not read."""
+    Returns id, n_symbols (bytes), n_removed, n_spans (maximal removed stretches), kept_sha256 (of the remaining bytes), spans, kept (where a span cut a character, its remaining bytes are left out of this text). Null counts as empty, and texts are read whole, however long. Rows that repeat an id count as different texts only where their places differ. A row without an id matches nothing and stays as it is. An empty table gives an empty result. Other columns are not read. gram is at most window."""
+    if not 0 < gram <= window:
+        raise ValueError("a gram has at most as many bytes as a window")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = docs.where("id is not null")
-    runs = texts.mapInArrow(_runs("byte", window, gram, True), RUN)
-    settled = cut(runs.repartition("m").sortWithinPartitions("m", "key", "id", "run").mapInArrow(_settle(True), "m long, id long, run long, state int"))
-    opened = settled.where(F.col("state").bitwiseAND(OPEN) > 0)
-    crowded = opened.groupBy("m").agg(F.count("*").alias("n")).where(F.col("n") > TOGETHER).select("m")
-    few, many = cut(opened.join(crowded, "m", "left_anti").select("id", "run")), cut(opened.join(crowded, "m", "left_semi").select("id", "run"))
-    found = settled.select("id", "run", "state")
-    segments = open_runs(texts, few, _segments(window, gram), SEGMENT)
-    found = found.union(cut(segments.repartition("m").sortWithinPartitions("m", "id", "first").mapInArrow(_expanded(window, gram), "id long, run long, state int")))
-    if not many.isEmpty():
-        rows = open_runs(texts, many, _windows("byte", window, gram), "h long, id long, at long")
-        found = found.union(cut(rows.repartition("h").sortWithinPartitions("h", "id", "at").mapInArrow(_repeated(True), "id long, run long, state int")))
+    found = covered_runs(docs.where("id is not null"), "byte", window, gram, True, _expanded)
     return without(docs, found, _apply_bytes(window), columns)

@@ -123,6 +123,20 @@ def test_repeats_without_filter(docs, monkeypatch):
     assert rows(repeats.substring_dedup(docs), "id", "n_symbols", "n_removed", "kept_sha256") == brute.repeated_words(awkward())
 
 
+@pytest.mark.parametrize("together", [1, 3])
+def test_repeats_of_crowded_anchors(docs, monkeypatch, together):
+    monkeypatch.setattr(repeats, "TOGETHER", together)  # anchors grow, up to whole windows
+    assert rows(repeats.substring_dedup(docs), "id", "n_symbols", "n_removed", "kept_sha256") == brute.repeated_words(awkward())
+    assert rows(repeats.byte_dedup(docs), "id", "n_symbols", "n_removed", "n_spans", "kept_sha256") == brute.repeated_bytes(awkward())
+
+
+def test_factors_are_cut_where_the_reference_ends():
+    block = repeats.Block(3)
+    a, b, c = b"a b c d e f".split(), b"x c d e f g".split(), b"b c d e f g h".split()
+    assert block.parse(a) == [] and block.parse(b) == [(1, 2)]
+    assert block.parse(c) == [(0, 3), (3, 1)]  # one factor up to the end of a, and one from b across it
+
+
 def test_repeated_rows_are_no_repeats(spark):
     text = " ".join(f"w{i}" for i in range(60))
     d = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
@@ -205,6 +219,19 @@ def test_packing(spark, docs):
     assert len(bins) <= -(-sum(r.length for r in got) // 2048) + 1
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_crossover_makes_the_plan_of_the_real_table(spark, sf):
+    table = spark.read.parquet(f"{SF}/../{sf}/documents.parquet")
+    pieces = packing.in_batches(table.select(F.col("doc_id").alias("id"), "text"), packing._pieces(packing.vocabulary(), 2048), "id long, piece int, start long, length long, ids_crc32 long")
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    bins, generation = packing.plan_bins(spark, counts, 2048)
+    packer = packing.Packer(counts, 2048, 0)
+    assert generation > 0  # no plan that an island started from
+    assert packer.number(bins) <= packer.number(packer.seed_bins(0.0))  # nor worse than best-fit decreasing
+    assert packer.number(bins) == packer.least
+    assert min(packer.number(packing.Packer(counts, 2048, i).seed_bins(x)) for i in range(3) for x in packing.DISTURBED) > packer.least
+
+
 def test_packer_improves():
     rng = np.random.default_rng(3)
     counts = Counter(int(x) for x in rng.integers(300, 900, 400))
