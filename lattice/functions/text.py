@@ -17,7 +17,8 @@ OTHER_KIND = 30
 
 
 def ascii_lower(c: Column) -> Column:
-    return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
+    """A-Z lowered, nothing else; lower() does the same where all is ASCII, and is much faster."""
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.lower(c))
 
 
 def terms(c: Column) -> Column:
@@ -54,16 +55,21 @@ def path_points(path: Column, asked: bool) -> Column:
     return F.when(test & F.lit(not asked), 0).otherwise(plain)
 
 
+#: Columns that searches read again and again; they are stored with the elements when those are indexed.
+WORDS, NAME_WORDS = "search_words", "name_words"
+
+
 def prepared(e: dict[str, Column]) -> dict[str, Column]:
-    """What symbol_score reads again and again, to be computed once for each symbol: its words and its lowered fields."""
-    low = {f"_{k}": ascii_lower(F.coalesce(v, F.lit(""))) for k, v in e.items()}
-    return {"_bag": F.array_distinct(F.flatten(F.array(*(terms(v) for v in e.values()))))} | low
+    """The words of all fields, those of the two names, and the lowered fields."""
+    low = {f"low_{k}": ascii_lower(F.coalesce(v, F.lit(""))) for k, v in e.items()}
+    own = F.array_distinct(F.concat(terms(e["name"]), terms(e["qualified_name"])))
+    return {WORDS: F.array_distinct(F.flatten(F.array(*(terms(v) for v in e.values())))), NAME_WORDS: own} | low
 
 
 def symbol_score(query: str, e: dict[str, Column]) -> Column:
     """Points of a symbol with prepared() columns for a query; e has name, qualified_name, kind, signature, docstring, file_path."""
     words, asked = query_terms(query), wants_tests(query_terms(query))
-    low, bag = {k: F.col(f"_{k}") for k in e}, F.col("_bag")
+    low, bag = {k: F.col(f"low_{k}") for k in e}, F.col(WORDS)
     whole = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in query.strip())
     hit = lambda w, field: F.array_contains(bag, w) | low[field].contains(w)
     score = F.when(low["qualified_name"] == whole, 2000).otherwise(0) + F.when(low["name"] == whole, 1800).otherwise(0)
@@ -85,13 +91,13 @@ def _all(columns: list[Column]) -> Column:
     return out
 
 
-def file_score(query: str, path: Column, symbol_terms: Column) -> Column:
-    """Points of a file: its path's words, parts of its path, and its symbols' words."""
+def file_score(query: str, path: Column, has: dict[str, Column]) -> Column:
+    """Points of a file: its path's words, parts of its path, and its symbols' words; has: for each word whether a symbol of the file has it."""
     words, asked = query_terms(query), wants_tests(query_terms(query))
     own, low = terms(path), ascii_lower(path)
     score = path_points(path, asked)
     for w in words:
-        score = score + F.when(F.array_contains(own, w), 160).otherwise(0) + F.when(low.contains(w), 100).otherwise(0) + F.when(F.array_contains(symbol_terms, w), 80).otherwise(0)
+        score = score + F.when(F.array_contains(own, w), 160).otherwise(0) + F.when(low.contains(w), 100).otherwise(0) + F.when(has[w], 80).otherwise(0)
     return score.cast("long")
 
 

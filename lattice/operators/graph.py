@@ -9,38 +9,35 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lattice.model import Direction
-from lattice.runtime import cut
+from lattice.runtime import cut, release
 
 #: PageRank's share of steps along edges, and its rounds.
 ALPHA, ROUNDS = 0.85, 20
 
 
 def adjacency(relations: DataFrame, kinds: tuple[str, ...], direction: str = Direction.OUTGOING) -> DataFrame:
-    """Distinct steps (src, dst) along relations of the kinds."""
+    """Steps (src, dst) along relations of the kinds; as many of two elements as there are relations between them."""
     r = relations.where(F.col("kind").isin(*kinds))
     out, into = r.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")), r.select(F.col("target_id").alias("src"), F.col("source_id").alias("dst"))
-    return {Direction.OUTGOING: out, Direction.INCOMING: into}.get(direction, out.union(into)).distinct()
+    return {Direction.OUTGOING: out, Direction.INCOMING: into}.get(direction, out.union(into))
 
 
 def walk(relations: DataFrame, seeds: DataFrame, kinds: tuple[str, ...], direction: str = Direction.OUTGOING, depth: int = 2, limit: int | None = None) -> DataFrame:
-    """(id, depth): elements within depth steps of the seeds (id), each at its shortest depth; seeds at 0. Cut by depth and id at limit.
+    """(id, depth): the seeds (id) at 0, and elements within depth steps of them, each at its shortest depth. With a limit, so many elements besides the seeds, by depth and id.
 
-    Each round joins the frontier with the edges and leaves out what was met before, so a round costs its own frontier."""
+    Each round joins the frontier with the edges and leaves out what was met before, so a round costs its own frontier; frontiers are cut, so a later round doesn't run an earlier one again."""
     edges = adjacency(relations, kinds, direction)
-    frontier = seeds.select("id").distinct()
-    levels = [frontier.withColumn("depth", F.lit(0))]
-    met = frontier
+    frontier = cut(seeds.select("id").distinct())
+    start = met = frontier.withColumn("depth", F.lit(0))
     for d in range(1, depth + 1):
-        step = edges.join(F.broadcast(frontier) if d == 1 else frontier, F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id")).distinct()
-        frontier = step.join(met, "id", "left_anti")
-        if d > 2:
-            frontier = cut(frontier)
-            if frontier.isEmpty():
-                break
-        met = met.union(frontier)
-        levels.append(frontier.withColumn("depth", F.lit(d)))
-    found = reduce(DataFrame.union, levels)
-    return found.orderBy("depth", "id").limit(limit) if limit else found
+        step = edges.join(frontier, F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id")).distinct()
+        frontier = cut(step.join(met, "id", "left_anti"))
+        if frontier.isEmpty():
+            break
+        met = met.union(frontier.withColumn("depth", F.lit(d)))
+    if not limit:
+        return met
+    return start.union(met.where("depth > 0").orderBy("depth", "id").limit(limit)).orderBy("depth", "id")
 
 
 def walk_edges(relations: DataFrame, found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
@@ -60,22 +57,33 @@ def ancestors(relations: DataFrame, ids: DataFrame, depth: int = 6) -> DataFrame
     return reduce(DataFrame.union, levels).withColumn("n", first).where("n = 1 and id <> ancestor_id").drop("n")
 
 
+def _start(seeds: DataFrame) -> DataFrame:
+    """(id, p): the seeds, each with its share of 1."""
+    ids = seeds.select("id").distinct()
+    return cut(ids.join(F.broadcast(ids.agg((1.0 / F.count("*")).alias("p")))))  # joined with one row
+
+
+def _rounds(steps: DataFrame, start: DataFrame, rounds: int, alpha: float) -> DataFrame:
+    """(id, rank) after so many rounds along steps (src, dst, w). What is moved in a round is cut, and its sum comes to the driver, so a round runs once and its plan doesn't grow."""
+    rank, before = start.select("id", F.col("p").alias("rank")), None
+    for _ in range(rounds):
+        moved = steps.join(rank, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("w")).alias("moved"))
+        moved = cut(moved)
+        kept = moved.agg(F.coalesce(F.sum("moved"), F.lit(0.0))).first()[0]
+        back = start.select("id", (F.col("p") * (1 - alpha * kept)).alias("rank"))
+        rank = moved.select("id", (alpha * F.col("moved")).alias("rank")).union(back).groupBy("id").agg(F.sum("rank").alias("rank"))
+        if before is not None:
+            release(before)
+        before = moved
+    return rank
+
+
 def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, alpha: float = ALPHA) -> DataFrame:
     """(id, rank) of a walk along edges (src, dst) that returns to the seeds (id), as does the share of elements without a way out. No seeds, no ranks."""
-    out = edges.distinct()
-    degree = out.groupBy("src").agg(F.count("*").alias("degree"))
-    steps = cut(out.join(degree, "src"))
-    start = seeds.select("id").distinct().crossJoin(F.broadcast(seeds.select("id").distinct().agg((1.0 / F.count("*")).alias("p"))))  # one row
-    start = cut(start)
-    rank = start.select("id", F.col("p").alias("rank"))
-    for n in range(rounds):
-        moved = steps.join(rank, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("degree")).alias("moved"))
-        kept = moved.agg(F.coalesce(F.sum("moved"), F.lit(0.0)).alias("kept"))
-        back = start.join(F.broadcast(kept)).select("id", (F.col("p") * (1 - alpha * F.col("kept"))).alias("moved"))
-        rank = moved.select("id", (alpha * F.col("moved")).alias("moved")).union(back).groupBy("id").agg(F.sum("moved").alias("rank"))
-        if n % 3 == 2:
-            rank = cut(rank)
-    return rank
+    out = cut(edges.distinct())
+    steps = cut(out.join(out.groupBy("src").agg((1.0 / F.count("*")).alias("w")), "src"))
+    release(out)
+    return _rounds(steps, _start(seeds), rounds, alpha)
 
 
 def hyper_pagerank(incidences: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, alpha: float = ALPHA) -> tuple[DataFrame, DataFrame]:
@@ -84,17 +92,8 @@ def hyper_pagerank(incidences: DataFrame, seeds: DataFrame, rounds: int = ROUNDS
     onto = incidences.where("role = 'anchor'").select(F.col("relation_id").alias("edge"), F.col("element_id").alias("dst")).distinct()
     shared = lambda df, key: df.join(df.groupBy(key).agg(F.count("*").alias("n")), key)
     into, onto = cut(shared(into, "src").withColumnRenamed("n", "n_in")), cut(shared(onto, "edge").withColumnRenamed("n", "n_out"))
-    two = into.join(onto, "edge")
-    steps = two.groupBy("src", "dst").agg(F.sum(1.0 / (F.col("n_in") * F.col("n_out"))).alias("w"))
-    start = cut(seeds.select("id").distinct().crossJoin(F.broadcast(seeds.select("id").distinct().agg((1.0 / F.count("*")).alias("p")))))
-    rank = start.select("id", F.col("p").alias("rank"))
-    for n in range(rounds):
-        moved = steps.join(rank, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("w")).alias("moved"))
-        kept = moved.agg(F.coalesce(F.sum("moved"), F.lit(0.0)).alias("kept"))
-        back = start.join(F.broadcast(kept)).select("id", (F.col("p") * (1 - alpha * F.col("kept"))).alias("moved"))
-        rank = moved.select("id", (alpha * F.col("moved")).alias("moved")).union(back).groupBy("id").agg(F.sum("moved").alias("rank"))
-        if n % 3 == 2:
-            rank = cut(rank)
+    steps = cut(into.join(onto, "edge").groupBy("src", "dst").agg(F.sum(1.0 / (F.col("n_in") * F.col("n_out"))).alias("w")))
+    rank = _rounds(steps, _start(seeds), rounds, alpha)
     edges = into.join(rank, F.col("src") == F.col("id")).groupBy(F.col("edge").alias("id")).agg(F.sum(F.col("rank") / F.col("n_in")).alias("rank"))
     return rank, edges
 

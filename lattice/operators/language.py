@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lattice.model import EdgeKind, Graph, catalog_sizes
 from lattice.operators.graph import walk
-from lattice.operators.search import select, symbols
+from lattice.operators.search import symbols, the_one
 
 
 class QueryError(ValueError):
@@ -106,4 +106,4 @@ def parse_navigation(text: str) -> Navigation:
 
 def navigate(graph: Graph, text: str) -> DataFrame:
     n = parse_navigation(text)
-    return walk(graph.relations, select(graph.elements, n.selector).limit(1).select("id"), (n.edge,), n.direction, n.depth, n.limit)
+    return walk(graph.relations, the_one(graph.elements, n.selector), (n.edge,), n.direction, n.depth, n.limit)

@@ -91,7 +91,7 @@ def index_project(spark: SparkSession, root: str, folder: str | None = None, pro
     progress("store")
     old = store.table("elements")
     no_ids = spark.createDataFrame([], "stable_key string, id long")
-    elements = cut(reconcile.carry_ids(old.select("stable_key", "id") if old is not None else no_ids, parts["elements"], "stable_key"))
+    elements = cut(search.with_words(reconcile.carry_ids(old.select("stable_key", "id") if old is not None else no_ids, parts["elements"], "stable_key")))
     ids = elements.select("stable_key", "id")
     at = lambda df, end: df.join(ids.select(F.col("stable_key").alias(f"{end}_key"), F.col("id").alias(f"{end}_id")), f"{end}_key")
     relations = at(at(parts["relations"], "source"), "target").drop("source_key", "target_key")
@@ -135,7 +135,7 @@ class ProjectIndex:
         return search.search_files(self.graph.elements, query, limit)
 
     def call_graph(self, selector: str, direction: str = "outgoing", depth: int = 1, limit: int = 100) -> DataFrame:
-        seed = search.select(self.graph.elements, selector).limit(1).select("id")
+        seed = search.the_one(self.graph.elements, selector)
         return graph.walk(self.graph.relations, seed, (EdgeKind.CALLS,), direction, depth, limit)
 
     def navigate(self, query: str) -> DataFrame:
