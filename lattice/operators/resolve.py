@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lattice.functions import text
 from lattice.model import CONTAINERS, LIFTED_EDGES, SURE
+from lattice.runtime import cut
 
 TIERS = ("exact", "scoped", "import", "receiver", "simple")
 
@@ -18,7 +19,7 @@ def import_map(imports: DataFrame) -> DataFrame:
 
 
 def candidates(refs: DataFrame, imports: DataFrame) -> DataFrame:
-    """Names that a reference may mean: ref_id, tier, depth, space (whole or owner), key. Deeper scopes come first within their tier."""
+    """Names that a reference may mean: ref_id, source_id, tier, depth, space (whole or owner), key. Deeper scopes come first within their tier."""
     joined = F.array_join("path", "::")
     scope = F.transform(text.enclosing(F.col("source_name")), lambda p, i: F.struct(F.lit(1).alias("tier"), i.alias("depth"), F.lit("q").alias("space"), F.concat(p, F.lit("::"), joined).alias("key")))
     exact = F.array(F.struct(F.lit(0).alias("tier"), F.lit(0).alias("depth"), F.lit("q").alias("space"), joined.alias("key")))
@@ -28,30 +29,33 @@ def candidates(refs: DataFrame, imports: DataFrame) -> DataFrame:
     received = F.when(owner.isNotNull(), F.array(F.struct(F.lit(3).alias("tier"), F.lit(0).alias("depth"), F.lit("r").alias("space"), F.concat(owner, F.lit("::"), F.element_at("path", -1)).alias("key")))).otherwise(F.array().cast("array<struct<tier:int,depth:int,space:string,key:string>>"))
     known = import_map(imports).select(F.col("file_path").alias("f"), "local_name", "base")
     with_imports = refs.join(known, (F.col("file_path") == F.col("f")) & (F.get("path", F.lit(0)) == F.col("local_name")), "left")
-    return with_imports.select("ref_id", F.inline(F.concat(exact, scope, imported, received)))
+    return with_imports.select("ref_id", "source_id", F.inline(F.concat(exact, scope, imported, received)))
 
 
 def resolve(refs: DataFrame, imports: DataFrame, elements: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(resolved, unresolved). refs: ref_id, source_id, source_name, file_path, path, qualifier.
 
-    Whole names and owner-member pairs share one key column, so one join serves four tiers; bare names are joined only for what those leave. The first tier with a target wins, several targets are ambiguous and all kept.
+    Whole names and owner-member pairs share one key column, so one join serves four tiers; what it finds is cut, for two branches go on from it. Bare names are looked up only for what those leave, and first only as the number of symbols of a name, which tells what is ambiguous and what is lost; pairs of reference and symbol are made at the very end. The first tier with a target wins, several targets are ambiguous and all kept.
 
     resolved: ref_id, source_id, target_id, resolution. unresolved: ref_id, source_id, reason."""
     refs = refs.where(F.size("path") > 0).join(elements.select(F.col("id").alias("source_id")), "source_id", "left_semi")
     parts = F.split("qualified_name", "::")
-    names = elements.select("id", F.inline(F.array(F.struct(F.lit("q").alias("space"), F.col("qualified_name").alias("key")), F.struct(F.lit("r").alias("space"), F.when(F.size(parts) > 1, F.array_join(F.slice(parts, -2, 2), "::")).alias("key")))))
+    both = F.array(F.struct(F.lit("q").alias("space"), F.col("qualified_name").alias("key")), F.struct(F.lit("r").alias("space"), F.when(F.size(parts) > 1, F.array_join(F.slice(parts, -2, 2), "::")).alias("key")))
+    names = elements.select("id", F.inline(both))
     hits = candidates(refs, imports).join(names.where("key is not null"), ["space", "key"])
-    first = F.min(F.struct("tier", "depth")).over(W.partitionBy("ref_id"))
-    best = hits.withColumn("first", first).where((F.col("tier") == F.col("first.tier")) & (F.col("depth") == F.col("first.depth"))).select("ref_id", F.col("id").alias("target_id"), "tier").distinct()
-    left = refs.join(best.select("ref_id").distinct(), "ref_id", "left_anti")
-    bare = left.select("ref_id", F.element_at("path", -1).alias("name")).join(elements.select("name", F.col("id").alias("target_id")), "name").select("ref_id", "target_id", F.lit(4).alias("tier")).distinct()
-    found = best.unionByName(bare)
-    many = F.count("*").over(W.partitionBy("ref_id")) > 1
+    mine = W.partitionBy("ref_id")  # one exchange serves both windows and the removal of repeats between them
+    first = hits.withColumn("first", F.min(F.struct("tier", "depth")).over(mine)).where((F.col("tier") == F.col("first.tier")) & (F.col("depth") == F.col("first.depth")))
+    best = first.groupBy("ref_id", "source_id", F.col("id").alias("target_id"), "tier").agg(F.count("*").alias("times"))
+    best = cut(best.select("ref_id", "source_id", "target_id", "tier", F.count("*").over(mine).alias("targets")))
     kind = F.element_at(F.array(*map(F.lit, TIERS)), F.col("tier") + 1)
-    named = found.withColumn("resolution", F.when(many, "ambiguous").otherwise(kind))
-    resolved = named.join(refs.select("ref_id", "source_id"), "ref_id").select("ref_id", "source_id", "target_id", "resolution")
-    unresolved = left.join(bare.select("ref_id").distinct(), "ref_id", "left_anti").select("ref_id", "source_id", F.lit("no matching symbol").alias("reason"))
-    return resolved, unresolved
+    sure = best.select("ref_id", "source_id", "target_id", F.when(F.col("targets") > 1, "ambiguous").otherwise(kind).alias("resolution"))
+    left = refs.join(best.select("ref_id").distinct(), "ref_id", "left_anti").select("ref_id", "source_id", F.element_at("path", -1).alias("name"))
+    named = elements.groupBy("name").agg(F.count("*").alias("targets"))
+    left = cut(left.join(named, "name", "left"))
+    bare = left.where("targets is not null").join(elements.select("name", F.col("id").alias("target_id")), "name")
+    bare = bare.select("ref_id", "source_id", "target_id", F.when(F.col("targets") > 1, "ambiguous").otherwise(TIERS[4]).alias("resolution"))
+    unresolved = left.where("targets is null").select("ref_id", "source_id", F.lit("no matching symbol").alias("reason"))
+    return sure.unionByName(bare), unresolved
 
 
 def container_spine(files: DataFrame) -> tuple[DataFrame, DataFrame]:
