@@ -44,6 +44,11 @@ def _walk(seed: int, kinds: str, direction: str, depth: int, tail: str = "") ->
     m AS (SELECT id, min(depth)::INT AS depth FROM v GROUP BY id) {tail or 'SELECT id, depth FROM m'}"""
 
 
+def _limited(n: int) -> str:
+    """The seed, and n others."""
+    return f"SELECT id, depth FROM m WHERE depth = 0 UNION ALL SELECT * FROM (SELECT id, depth FROM m WHERE depth > 0 ORDER BY depth, id LIMIT {n}) x"
+
+
 RESOLVE = f"""WITH {E}, {REFS}, {IMPORTS},
 p AS (SELECT *, string_split(joined, '::') AS path, string_split(source_name, '::') AS scope FROM f WHERE source_id IN (SELECT id FROM e)),
 m AS (SELECT file_path, local_name, min(joined) AS base FROM i GROUP BY 1, 2),
@@ -66,11 +71,25 @@ d AS (SELECT 2000000000 + a AS source_id, 2000000000 + b AS target_id FROM l
 z AS (SELECT source_id::BIGINT AS source_id, target_id::BIGINT AS target_id FROM d WHERE source_id <> target_id)
 """
 
-_RANK = f"""WITH {R}, g AS (SELECT DISTINCT source_id AS a, target_id AS b FROM r), o AS (SELECT a, count(*) AS n FROM g GROUP BY a), t AS (SELECT g.a, b, n FROM g JOIN o ON g.a = o.a),
-s AS (SELECT unnest([1000000001, 2000000002])::BIGINT AS id, 0.5::DOUBLE AS p), k0 AS (SELECT id, p AS k FROM s)"""
-for _n in range(3):
-    _RANK += f""", m{_n} AS (SELECT b AS id, sum(k / n) AS m FROM t JOIN k{_n} ON a = id GROUP BY b),
-    k{_n + 1} AS (SELECT id, sum(v) AS k FROM (SELECT id, 0.85::DOUBLE * m AS v FROM m{_n} UNION ALL SELECT id, p * (1 - 0.85::DOUBLE * (SELECT coalesce(sum(m), 0) FROM m{_n})) FROM s) x GROUP BY id)"""
+ROUNDS, SHARE = 20, "0.85::DOUBLE"  # of a ranking, as the operator's are by default
+
+
+def _rounds(steps: str) -> str:
+    """ROUNDS rounds from s(id, p) along steps(a, b, w), each written out once."""
+    out = ", k0 AS MATERIALIZED (SELECT id, p AS k FROM s)"
+    for n in range(ROUNDS):
+        out += f""", m{n} AS MATERIALIZED (SELECT b AS id, sum(k * w) AS m FROM {steps} JOIN k{n} ON a = id GROUP BY b),
+    k{n + 1} AS MATERIALIZED (SELECT id, sum(v) AS k FROM (SELECT id, {SHARE} * m AS v FROM m{n} UNION ALL SELECT id, p * (1 - {SHARE} * (SELECT coalesce(sum(m), 0) FROM m{n})) FROM s) x GROUP BY id)"""
+    return out
+
+
+_RANK = f"""WITH {R}, g AS MATERIALIZED (SELECT DISTINCT source_id AS a, target_id AS b FROM r), o AS (SELECT a, 1.0::DOUBLE / count(*) AS w FROM g GROUP BY a),
+t AS MATERIALIZED (SELECT g.a, b, w FROM g JOIN o ON g.a = o.a), s AS MATERIALIZED (SELECT unnest([1000000001, 2000000002])::BIGINT AS id, 0.5::DOUBLE AS p){_rounds("t")}"""
+_HYPER = f"""WITH n AS ({w.INCIDENCES}), i AS MATERIALIZED (SELECT DISTINCT element_id AS a, relation_id AS g FROM n WHERE kind = 'impl_group' AND role <> 'anchor'),
+j AS MATERIALIZED (SELECT DISTINCT relation_id AS g, element_id AS b FROM n WHERE kind = 'impl_group' AND role = 'anchor'),
+d AS MATERIALIZED (SELECT a, count(*) AS n FROM i GROUP BY a), c AS (SELECT g, count(*) AS n FROM j GROUP BY g),
+t AS MATERIALIZED (SELECT i.a, b, sum(1.0::DOUBLE / (d.n * c.n)) AS w FROM i JOIN d ON i.a = d.a JOIN j ON i.g = j.g JOIN c ON c.g = i.g GROUP BY i.a, b),
+s AS MATERIALIZED (SELECT unnest([5000000001, 5000000002])::BIGINT AS id, 0.5::DOUBLE AS p){_rounds("t")}"""
 
 ORACLE: dict[str, str] = {
     "symbol_search_topk": _search("Customer order urgent", ["customer", "order", "urgent"], "", 50, "id, score, qualified_name"),
@@ -78,6 +97,8 @@ ORACLE: dict[str, str] = {
     "symbol_search_no_terms": f"WITH {E} SELECT id, 0::BIGINT AS score FROM e ORDER BY qualified_name, file_path, start_byte LIMIT 25",
     "status_counts": f"""WITH {E}, {R}, n AS ({w.INCIDENCES}) SELECT (SELECT count(*) FROM e) AS elements, 0::BIGINT AS unresolved, (SELECT count(*) FROM e WHERE kind = 'function') AS functions,
       (SELECT count(DISTINCT file_path) FROM e) AS files, (SELECT count(*) FROM r) AS relations, (SELECT count(*) FROM r WHERE kind = 'calls') AS calls, (SELECT count(*) FROM n) AS incidences""",
+    "index_graph": f"""WITH {E}, {R}, {REFS}, {IMPORTS}, n AS ({w.INCIDENCES}) SELECT 'elements' AS part, (SELECT count(*) FROM e) AS n UNION ALL SELECT 'relations', (SELECT count(*) FROM r)
+      UNION ALL SELECT 'incidences', (SELECT count(*) FROM n) UNION ALL SELECT 'refs', (SELECT count(*) FROM f) UNION ALL SELECT 'imports', (SELECT count(*) FROM i)""",
     "catalog": "SELECT * FROM (VALUES ('roles', 6::BIGINT), ('labels', 18), ('relation_types', 10), ('property_keys', 35), ('projections', 10), ('indexes', 9)) t(name, number)",
     "label_scan": f"WITH {E} SELECT id FROM e WHERE kind = 'struct'",
     "property_lookup": f"WITH {E} SELECT id FROM e WHERE name = 'small ring'",
@@ -98,7 +119,7 @@ ORACLE: dict[str, str] = {
     "sel_name": f"WITH {E} SELECT id, qualified_name FROM e WHERE name = 'NATION_3'",
     "sel_qualified": f"WITH {E} SELECT id, qualified_name FROM e WHERE qualified_name = 'AMERICA::NATION_1'",
     "sel_element": f"WITH {E} SELECT id, qualified_name FROM e WHERE id = 4000000007",
-    "sel_file_line": f"WITH {E} SELECT id, qualified_name FROM e WHERE file_path = 'src/NATION_2/customers.rs' AND 50 BETWEEN start_line AND end_line ORDER BY end_byte - start_byte, start_byte DESC LIMIT 1",
+    "sel_file_line": f"WITH {E} SELECT id, qualified_name FROM e WHERE file_path = 'src/NATION_2/mod.rs' AND 10 BETWEEN start_line AND end_line ORDER BY end_byte - start_byte, start_byte DESC LIMIT 1",
     "sel_ambiguous": f"WITH {E} SELECT name, count(*) AS n, min(id) AS first FROM e WHERE name = 'red widget' GROUP BY name",
     "resolve_all": RESOLVE + "SELECT resolution, count(*) AS n, count(DISTINCT ref_id) AS refs, sum(target_id % 1000)::BIGINT AS check FROM z GROUP BY 1",
     **{f"tier_{t}": RESOLVE + f"SELECT ref_id, target_id FROM z WHERE resolution = '{t}'" for t in ("exact", "scoped", "import", "receiver", "simple")},
@@ -114,19 +135,16 @@ ORACLE: dict[str, str] = {
     "walk_in": _walk(5000000010, "'contains', 'calls'", "incoming", 4),
     "walk_both": _walk(6000000011, "'calls'", "both", 3),
     "walk_edges": _walk(6000000011, "'calls'", "both", 2, "SELECT r.id AS relation_id, source_id, target_id, greatest(x.depth, y.depth) AS depth FROM r JOIN m x ON source_id = x.id JOIN m y ON target_id = y.id WHERE kind = 'calls'"),
-    "nav_contains": _walk(1000000002, "'contains'", "outgoing", 2, "SELECT id, depth FROM m ORDER BY depth, id LIMIT 400"),
-    "walk_query": _walk(6000000020, "'calls'", "both", 2, "SELECT id, depth FROM m ORDER BY depth, id LIMIT 60"),
+    "nav_contains": _walk(1000000002, "'contains'", "outgoing", 2, _limited(400)),
+    "walk_query": _walk(6000000020, "'calls'", "both", 2, _limited(60)),
     "ancestors": """WITH o AS (SELECT 6000000000 + o_orderkey AS id, 4000000000 + c_custkey AS a, 2000000000 + n_nationkey AS b, 1000000000 + n_regionkey AS c FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
       SELECT id::BIGINT AS id, a::BIGINT AS ancestor_id, 1 AS depth FROM o UNION ALL SELECT id, b, 2 FROM o UNION ALL SELECT id, c, 3 FROM o""",
     "blast_radius": f"""WITH {E}, {R}, c AS (SELECT source_id AS id, min(target_id - 5000000000)::INT AS rank FROM r WHERE kind = 'calls' AND target_id IN (5000000001, 5000000002) GROUP BY 1)
       SELECT c.id, rank, qualified_name, {TEST} AS is_test FROM c JOIN e ON c.id = e.id ORDER BY rank, c.id LIMIT 30""",
     "context_relations": f"""WITH {R}, x AS (SELECT *, row_number() OVER (PARTITION BY source_id, kind ORDER BY id) AS n FROM r WHERE kind = 'calls' AND source_id BETWEEN 6000000000 AND 6000000030 AND target_id BETWEEN 5000000000 AND 5000000400)
       SELECT id AS relation_id, source_id, target_id FROM x WHERE n <= 64 ORDER BY source_id, kind, id LIMIT 160""",
-    "ppr_fixed_rounds": _RANK + " SELECT id, round(k, 9) AS rank FROM k3",
-    "hyper_ppr": f"""WITH n AS ({w.INCIDENCES}), i AS (SELECT DISTINCT element_id AS a, relation_id AS g FROM n WHERE kind = 'impl_group' AND role <> 'anchor'), d AS (SELECT a, count(*) AS n FROM i GROUP BY a),
-      s AS (SELECT unnest([5000000001, 5000000002])::BIGINT AS id), m AS (SELECT g, sum(0.5::DOUBLE / n) AS m FROM i JOIN d ON i.a = d.a JOIN s ON s.id = i.a GROUP BY g),
-      k AS (SELECT id, sum(v) AS v FROM (SELECT g AS id, 0.85::DOUBLE * m AS v FROM m UNION ALL SELECT id, 0.5::DOUBLE * (1 - 0.85::DOUBLE * (SELECT coalesce(sum(m), 0) FROM m)) FROM s) x GROUP BY id)
-      SELECT g AS id, round(sum(v / n), 9) AS rank FROM i JOIN d ON i.a = d.a JOIN k ON k.id = i.a GROUP BY g""",
+    "ppr_fixed_rounds": _RANK + f" SELECT id, round(k, 9) AS rank FROM k{ROUNDS}",
+    "hyper_ppr": _HYPER + f" SELECT g AS id, round(sum(k / n), 9) AS rank FROM i JOIN d ON i.a = d.a JOIN k{ROUNDS} ON id = i.a GROUP BY g",
     "budget_prefix": f"""WITH {E}, f AS (SELECT file_path, min(id) AS file_rank, sum(strlen(qualified_name))::BIGINT AS bytes FROM e WHERE kind = 'struct' GROUP BY 1),
       x AS (SELECT *, sum(bytes) OVER (ORDER BY file_rank)::BIGINT AS running, row_number() OVER (ORDER BY file_rank) AS n FROM f) SELECT file_path, file_rank, bytes, running FROM x WHERE n = 1 OR running <= 900""",
     "skeleton_windows": f"""WITH {E}, s AS (SELECT file_path, greatest(start_line - 3, 1) AS low, end_line + 3 AS high FROM e WHERE kind = 'function'),

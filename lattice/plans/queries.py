@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from lattice.functions import text
 from lattice.model import LIFTED_EDGES, catalog_sizes
 from lattice.operators import context, evaluation, graph, language, reconcile, resolve, search
-from lattice.sources.warehouse import Warehouse
+from lattice.runtime import release
+from lattice.sources.warehouse import PARTS, Warehouse
 
 PLANS: dict = {}
 
@@ -27,6 +28,15 @@ def symbol_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 PLANS["symbol_search_topk"] = symbol_search_topk
 
 
+@plan
+def index_graph(w: Warehouse) -> DataFrame:
+    """The number of rows of each part of the index, all of them made anew: what a first query waits for."""
+    made = [(part, w.made(part)) for part in PARTS]
+    sizes = w.spark.createDataFrame([(part, df.count()) for part, df in made], "part string, n long")
+    release(*(df for _, df in made))
+    return sizes
+
+
 # scans, counts, lookups
 @plan
 def status_counts(w: Warehouse) -> DataFrame:
@@ -122,7 +132,7 @@ def sel_element(w: Warehouse) -> DataFrame:
 
 @plan
 def sel_file_line(w: Warehouse) -> DataFrame:
-    return search.select(w.elements(), "file:src/NATION_2/customers.rs:50").select("id", "qualified_name")
+    return search.select(w.elements(), "file:src/NATION_2/mod.rs:10").select("id", "qualified_name")
 
 
 @plan
@@ -266,24 +276,12 @@ def context_relations_selected(w: Warehouse) -> DataFrame:
 # ranking
 @plan
 def ppr_fixed_rounds(w: Warehouse) -> DataFrame:
-    edges = graph.adjacency(w.relations(), ("calls", "contains"))
-    return graph.pagerank(edges, _seed(w, 1000000001, 2000000002), 3).select("id", F.round("rank", 9).alias("rank"))
-
-
-@plan
-def hyper_ppr(w: Warehouse) -> DataFrame:
-    inc = w.incidences().where("kind = 'impl_group'")
-    return graph.hyper_pagerank(inc, _seed(w, 5000000001, 5000000002), 1)[1].select("id", F.round("rank", 9).alias("rank"))
-
-
-@plan
-def ppr_all_rounds(w: Warehouse) -> DataFrame:
     edges = graph.adjacency(w.relations(), ("calls", "contains"))
     return graph.pagerank(edges, _seed(w, 1000000001, 2000000002)).select("id", F.round("rank", 9).alias("rank"))
 
 
 @plan
-def hyper_ppr_all_rounds(w: Warehouse) -> DataFrame:
+def hyper_ppr(w: Warehouse) -> DataFrame:
     inc = w.incidences().where("kind = 'impl_group'")
     return graph.hyper_pagerank(inc, _seed(w, 5000000001, 5000000002))[1].select("id", F.round("rank", 9).alias("rank"))
 

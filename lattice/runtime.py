@@ -72,3 +72,9 @@ def release(*cuts: DataFrame) -> None:
         if path := getattr(df, "_cut_path", None):
             files, at = _path(df.sparkSession, path)
             files.delete(at, True)
+
+
+def stamp(spark: SparkSession, path: str) -> tuple:
+    """What tells a file or folder of files from a later version of it: names, sizes and times."""
+    files, at = _path(spark, path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files.listStatus(at)))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattice.model import Graph
+from lattice.operators.search import with_words
+from lattice.runtime import cut, stamp
 
 # Written so that Spark and DuckDB both run it.
 ELEMENTS = """
@@ -88,7 +90,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 class Warehouse:
-    """The tables of one directory, as graph parts."""
+    """The tables of one directory, indexed as a graph: its parts are made once and stored, as for a source tree, and queries read what is stored. Tables that have changed since are indexed anew."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
@@ -97,26 +99,37 @@ class Warehouse:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def sql(self, text: str) -> DataFrame:
-        names = {t: self.table(t) for t in TABLES if f" {t}" in text.replace("\n", " ").replace(",", " ")}
+        names = {t: self.table(t) for t in _named(text)}
         for t in names:
             text = text.replace(f"FROM {t}", f"FROM {{{t}}} AS {t}").replace(f"JOIN {t}", f"JOIN {{{t}}} AS {t}").replace(f", {t}", f", {{{t}}} AS {t}")
         return self.spark.sql(text, **names)
 
+    def stored(self, part: str) -> DataFrame:
+        """A part of the index as it is stored now, made first if it isn't or if its tables have changed."""
+        now = tuple(stamp(self.spark, f"{self.sf_dir}/{t}.parquet") for t in _named(PARTS[part][0]))
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, part)
+        if key not in _stored or _stored[key][0] != now:
+            _stored[key] = now, self.made(part)
+        return _stored[key][1]
+
+    def made(self, part: str) -> DataFrame:
+        """A part of the index, made anew."""
+        return cut(PARTS[part][1](self).repartition(self.spark.sparkContext.defaultParallelism))
+
     def elements(self) -> DataFrame:
-        df = self.sql(ELEMENTS)
-        return df.withColumn("language", F.lit("warehouse")).withColumn("stable_key", F.concat(F.lit("symbol:"), "file_path", F.lit(":"), "kind", F.lit(":"), "qualified_name", F.lit("#0")))
+        return self.stored("elements")
 
     def relations(self) -> DataFrame:
-        return self.sql(CALLS).unionByName(self.sql(CONTAINS))
+        return self.stored("relations")
 
     def incidences(self) -> DataFrame:
-        return self.sql(INCIDENCES)
+        return self.stored("incidences")
 
     def refs(self) -> DataFrame:
-        return self.sql(REFS).withColumn("path", F.split("joined", "::")).drop("joined")
+        return self.stored("refs")
 
     def imports(self) -> DataFrame:
-        return self.sql(IMPORTS.replace("FROM nation, part,", "FROM nation CROSS JOIN (SELECT DISTINCT p_brand FROM part) CROSS JOIN")).withColumn("path", F.split("joined", "::")).drop("joined")
+        return self.stored("imports")
 
     def spans(self) -> DataFrame:
         return self.sql(SPANS.format(epoch=SPARK_EPOCH))
@@ -124,3 +137,28 @@ class Warehouse:
     def graph(self) -> Graph:
         inc = self.incidences()
         return Graph(self.elements(), self.relations(), inc.select(F.col("relation_id").alias("id"), "kind").distinct(), inc.select("relation_id", "element_id", "role"))
+
+
+def _named(text: str) -> list[str]:
+    return [t for t in TABLES if f" {t}" in text.replace("\n", " ").replace(",", " ")]
+
+
+def _elements(w: Warehouse) -> DataFrame:
+    df = w.sql(ELEMENTS).withColumn("language", F.lit("warehouse"))
+    return with_words(df.withColumn("stable_key", F.concat(F.lit("symbol:"), "file_path", F.lit(":"), "kind", F.lit(":"), "qualified_name", F.lit("#0"))))
+
+
+def _with_path(text: str):
+    return lambda w: w.sql(text).withColumn("path", F.split("joined", "::")).drop("joined")
+
+
+_IMPORTS = IMPORTS.replace("FROM nation, part,", "FROM nation CROSS JOIN (SELECT DISTINCT p_brand FROM part) CROSS JOIN")
+#: Parts of the index: the SQL that names their tables, and how they are made.
+PARTS = {
+    "elements": (ELEMENTS, _elements),
+    "relations": (CALLS + CONTAINS, lambda w: w.sql(CALLS).unionByName(w.sql(CONTAINS))),
+    "incidences": (INCIDENCES, lambda w: w.sql(INCIDENCES)),
+    "refs": (REFS, _with_path(REFS)),
+    "imports": (IMPORTS, _with_path(_IMPORTS)),
+}
+_stored: dict[tuple, tuple[tuple, DataFrame]] = {}
