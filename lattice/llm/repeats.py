@@ -251,20 +251,25 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield *head, raw[at[i] : at[i + 1]].tobytes()
 
 
+#: Parts that the places of an anchor within its windows are split into, where the anchor is too frequent.
+SPLIT = 8
+
+
 def longer_anchors(rows: Iterator[tuple], by: str, window: int) -> Iterator[tuple]:
-    """Each stretch in two at most, with anchors grown by about half of what a window has beside them: to the left for windows that hold so much there, to the right for the others. Equal windows have their anchor at one place, so they still meet."""
+    """Each stretch in SPLIT at most, by how much of a window lies before its anchor: in each part the anchor grows by what all the part's windows have before and after it. Equal windows have their anchor at one place, so they still meet; what windows have beside the longer anchor is a SPLITth of what it was."""
     for _, who, first, count, place, gram, text in rows:
         symbols = text.split(b" ") if by == "word" else text
         room = window - gram
-        left = (room + 1) // 2
-        right = room - left + 1
-        n = min(count, place - left + 1)  # windows with enough before the anchor
-        for a, c, at, size in ((0, n, place - left, gram + left), (max(n, 0), count - max(n, 0), place - max(n, 0), gram + right)):
-            if c > 0:
-                part = symbols[a : a + c - 1 + window]
+        step = -(-(room + 1) // SPLIT)
+        for least in range(0, room + 1, step):
+            most = min(least + step - 1, room)  # symbols before the anchor
+            a, b = max(place - most, 0), min(place - least, count - 1)  # windows
+            if a <= b:
+                part = symbols[a : b + window]
+                at, size = place - least - a, gram + least + room - most
                 anchor, part = part[at : at + size], part if by == "byte" else b" ".join(part)
-                m = xxhash.xxh64_intdigest(anchor if by == "byte" else b" ".join(anchor), seed=size * 2 + (a > 0 or n <= 0))
-                yield m - (1 << 63), who, first + a, c, at, size, part, xxhash.xxh64_intdigest(part, seed=1) - (1 << 63)
+                m = xxhash.xxh64_intdigest(anchor if by == "byte" else b" ".join(anchor), seed=least << 20 | size)
+                yield m - (1 << 63), who, first + a, b - a + 1, at, size, part, xxhash.xxh64_intdigest(part, seed=1) - (1 << 63)
 
 
 def _longer(by: str, window: int):
