@@ -99,11 +99,14 @@ def index_project(spark: SparkSession, root: str, folder: str | None = None, pro
     relations = cut(reconcile.carry_ids(old.select("edge_key", "id") if old is not None else spark.createDataFrame([], "edge_key string, id long"), relations, "edge_key"))
     whole = parts["incidences"].join(ids.withColumnRenamed("stable_key", "element_key"), "element_key", "left")
     whole = whole.withColumn("lost", F.max(F.col("id").isNull()).over(W.partitionBy("hyper_key"))).where("not lost")
-    incidences = whole.select(F.xxhash64("hyper_key").alias("relation_id"), F.col("id").alias("element_id"), "role", F.substring_index("hyper_key", ":", 1).alias("kind"))
+    old = store.table("hyperedges")
+    hyperedges = whole.select("hyper_key", F.substring_index("hyper_key", ":", 1).alias("kind")).distinct()
+    hyperedges = cut(reconcile.carry_ids(old.select("hyper_key", "id") if old is not None else spark.createDataFrame([], "hyper_key string, id long"), hyperedges, "hyper_key"))
+    incidences = whole.withColumnRenamed("id", "element_id").join(hyperedges.withColumnRenamed("id", "relation_id"), "hyper_key").select("relation_id", "element_id", "role", "kind")
     counts = made.agg(F.count("*").alias("files"), F.count_if(F.col("parse_status") == "failed").alias("failed"), F.count_if(F.col("parse_status") == "partial").alias("partial")).first().asDict()
     more = elements.agg(F.count_if(F.col("kind") != "unresolved_reference").alias("symbols"), F.count_if(F.col("kind") == "unresolved_reference").alias("unresolved")).first().asDict()
     stats = {**counts, **more, "edges": relations.count(), "skipped": read.where("language is null and lower(path) like '%.liquid'").count()}
-    store.publish({"elements": elements, "relations": relations, "incidences": incidences, "extractions": made}, digest, stats)
+    store.publish({"elements": elements, "relations": relations, "incidences": incidences, "hyperedges": hyperedges, "extractions": made}, digest, stats)
     return stats
 
 

@@ -13,9 +13,57 @@ EXTENSIONS = {
     "svelte": "svelte", "vue": "vue", "py": "python", "pyi": "python", "java": "java", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "cs": "csharp", "php": "php", "rb": "ruby",
     "swift": "swift", "kt": "kotlin", "kts": "kotlin", "scala": "scala", "sc": "scala", "dart": "dart", "lua": "lua", "luau": "luau", "m": "objc", "pas": "pascal", "pp": "pascal",
 }
+#: Languages that share a grammar with arrows, and what begins a line of comment where it isn't two slashes.
+SCRIPTS = ("typescript", "javascript", "svelte", "vue")
+COMMENTS = {"python": ("#",), "ruby": ("#",), "php": ("//", "#"), "lua": ("--",), "luau": ("--",)}
 SIGNATURE, DOCSTRING, PREVIEW, PREVIEW_LINES = 300, 800, 1200, 24
 
 
+def signature(source: str, language: str) -> str:
+    """A declaration up to its body, on one line: to the first brace or semicolon; TypeScript and JavaScript also to the arrow; Rust without comments and attributes before it."""
+    if language == "rust":
+        lines = source.split("\n")
+        while lines and (not lines[0].strip() or lines[0].strip().startswith(("///", "//!", "#["))):
+            lines.pop(0)
+        source = " ".join(lines)
+    elif language in SCRIPTS:
+        source = source.split("=>", 1)[0]
+    return " ".join(source.split("{", 1)[0].split(";", 1)[0].split())[:SIGNATURE]
+
+
+def _lines_above(before: str, prefixes: tuple[str, ...], passed: str | None = None) -> list[str]:
+    """The unbroken lines with a prefix just above, without it; what stands before the declaration on its own line breaks them. Lines that begin with `passed` may stand between."""
+    out: list[str] = []
+    for line in reversed(before.splitlines()):
+        line = line.strip()
+        prefix = next((p for p in prefixes if line.startswith(p)), None)
+        if prefix is not None:
+            out.append(line.removeprefix(prefix).strip())
+        elif not (passed and not out and line.startswith(passed)):
+            break
+    return out[::-1]
+
+
+def docstring(text: str, start: int, end: int, language: str) -> str | None:
+    """The comment that documents the declaration at start, by the language's own rule."""
+    before = text[:start]
+    if language == "rust":
+        lines = _lines_above(before, ("///", "//!"), "#[")
+        lines = lines[len(lines) - next((i for i, x in enumerate(reversed(lines)) if not x), len(lines)) :]  # an empty comment line ends it
+        if not lines:
+            for line in map(str.strip, text[start:end].split("\n")):
+                if line.startswith(("///", "//!")) and line[3:].strip():
+                    lines.append(line[3:].strip())
+                elif line and not line.startswith("#["):
+                    break
+    elif language in SCRIPTS and before.rstrip().endswith("*/"):
+        body = before.rstrip()[:-2].rpartition("/*")[2] if "/*" in before else ""
+        lines = [x for x in (line.strip().lstrip("*").strip() for line in body.split("\n")) if x]
+    else:
+        lines = _lines_above(before, COMMENTS.get(language, ("//",)))
+    return "\n".join(lines).strip()[:DOCSTRING] or None
+
+
 def language_of(path: str) -> str | None:
     return EXTENSIONS.get(path.rsplit(".", 1)[-1].lower()) if "." in path.rsplit("/", 1)[-1] else None
 
@@ -63,10 +111,11 @@ class Builder:
         n = self.seen[kind, qualified] = self.seen.get((kind, qualified), -1) + 1
         key = f"symbol:{self.path}:{kind}:{qualified}#{n}"
         source = self.text[start:end]
-        header = " ".join(source.split("{", 1)[0].split(";", 1)[0].split())[:SIGNATURE]
-        if self.language == "python":
-            header = " ".join(re.split(r":\s*\n", source, maxsplit=1)[0].split())[:SIGNATURE]
-        preview = "\n".join(source.lstrip("\n").split("\n")[:PREVIEW_LINES])[:PREVIEW]
+        lines = [line.rstrip() for line in source.split("\n")]
+        while lines and not lines[0]:
+            lines.pop(0)
+        preview = "\n".join(lines[:PREVIEW_LINES]).strip()[:PREVIEW]
+        header = signature(source, self.language)
         self.out.nodes.append(self._row(key, name, qualified, kind, raw_kind, start, end, header or None, (docstring or "").strip()[:DOCSTRING] or None, preview or None))
         self.out.edges.append({"source_key": parent, "target_key": key, "kind": "contains"})
         return key
@@ -111,7 +160,7 @@ def _python(b: Builder) -> None:
         for child in ast.iter_child_nodes(node):
             if isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
                 kind = "class" if isinstance(child, ast.ClassDef) else "function"
-                key = b.symbol(kind, child.name, within, at(child.lineno, child.col_offset), at(child.end_lineno, child.end_col_offset), parent, docstring=ast.get_docstring(child))
+                key = b.symbol(kind, child.name, within, at(child.lineno, child.col_offset), at(child.end_lineno, child.end_col_offset), parent, docstring=docstring(text, at(child.lineno, child.col_offset), 0, "python"))
                 visit(child, [*within, child.name], key)
                 continue
             if isinstance(child, ast.Call):
@@ -230,19 +279,6 @@ def _end_of(masked: str, at: int, language: str) -> int:
     return len(masked)
 
 
-def _comment_above(text: str, start: int) -> str | None:
-    lines: list[str] = []
-    for line in reversed(text[:start].rstrip(" \t").split("\n")[:-1] if "\n" in text[:start] else []):
-        s = line.strip()
-        if s.startswith(("///", "//", "#", "--", "*", "/**", "/*")) and not s.startswith(("#[", "#!", "#include", "#define")):
-            lines.append(s.strip("/*#- \t!"))
-        elif s.startswith("#[") or s.startswith("@"):
-            continue
-        else:
-            break
-    return "\n".join(reversed(lines)).strip() or None
-
-
 def _rust_uses(body: str, prefix: list[str]) -> list[tuple[list[str], bool]]:
     """(path, glob) of each leaf of a use tree; the name before `as` counts."""
     depth, part, parts = 0, "", []
@@ -267,6 +303,14 @@ def _rust_uses(body: str, prefix: list[str]) -> list[tuple[list[str], bool]]:
     return out
 
 
+#: Words before a declaration that belong to it.
+MODIFIERS = {
+    "rust": re.compile(r"(?:\b(?:pub(?:\s*\([^)]*\))?|async|unsafe|const|default|extern)\s+)*\Z"),
+    "typescript": re.compile(r"(?:\b(?:abstract|async|declare)\s+)*\Z"),
+    "javascript": re.compile(r"(?:\basync\s+)*\Z"),
+}
+
+
 def _scan(b: Builder, text: str | None = None) -> None:
     language = {"svelte": "typescript", "vue": "typescript"}.get(b.language, b.language)
     text = b.text if text is None else text
@@ -281,6 +325,10 @@ def _scan(b: Builder, text: str | None = None) -> None:
                 continue
             taken.add(m.start(1))
             start = m.start() + len(m[0]) - len(m[0].lstrip())
+            if language in MODIFIERS:
+                start = MODIFIERS[language].search(masked, masked.rfind("\n", 0, start) + 1, start).start()
+            if raw in ("const", "arrow") and language in SCRIPTS and kind != "constant":
+                start = m.start(1)
             end = m.end() if kind == "macro" and language in ("c", "cpp") else max(m.end(1), _end_of(masked, m.end(1), language))
             defs.append((start, end, kind, raw, m[1]))
     if language == "rust":
@@ -305,7 +353,7 @@ def _scan(b: Builder, text: str | None = None) -> None:
             within = [receiver[1]] if receiver else within
         if language in ("typescript", "javascript") and kind == "variable" and owner in ("function", "method"):
             continue
-        key = b.symbol(kind, local, within, start, end, stack[-1][2] if stack else b.file, raw, _comment_above(text, start))
+        key = b.symbol(kind, local, within, start, end, stack[-1][2] if stack else b.file, raw, docstring(text, start, end, language))
         stack.append((end, [*within, local], key, kind, local))
         spans.append((start, end, key, [*within, local], kind))
         if kind == "impl_block":
@@ -350,6 +398,8 @@ def _scan(b: Builder, text: str | None = None) -> None:
         if m.start(2) in defined or name in NOT_CALLED or (language == "rust" and not macro and masked[m.end() - 1] != "("):
             continue
         key, path, kind = inside(m.start(2))
+        if language == "go" and kind == "interface":  # what an interface asks for
+            continue
         head = [x for x in re.split(r"::<[^<>()]*>|::|\?\.|\.|->|:|\s+", m[1]) if x]
         owner = path[-2] if len(path) > 1 else None
         qualifier = head[-1] if head else None

@@ -15,9 +15,9 @@ DOCUMENT = "resourceSpans array<struct<scopeSpans:array<struct<spans:array<struc
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """run_path, line, event columns; lines that are no JSON have null columns."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("run_path"), F.monotonically_increasing_id().alias("line"), F.from_json("value", EVENT).alias("e"))
-    return lines.select("run_path", "line", "e.*")
+    """run_path, line, event columns; lines that are no JSON have null columns. Lines are numbered from 0 within their file, which is one run's and read as a whole."""
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("run_path"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("line", "value"))
+    return whole.select("run_path", F.col("line").cast("long").alias("line"), F.from_json("value", EVENT).alias("e")).select("run_path", "line", "e.*")
 
 
 def attach_timeline(events: DataFrame, timeline: DataFrame) -> DataFrame:
@@ -26,21 +26,23 @@ def attach_timeline(events: DataFrame, timeline: DataFrame) -> DataFrame:
 
 
 def read_spans(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each span of nested documents, attributes as a map of text."""
-    df = spark.read.schema(DOCUMENT).option("multiLine", True).json(path)
+    """One row for each span of nested documents, attributes as a map of text. A file is one document, or has one on each line."""
+    lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
+    documents = F.when(F.forall(lines, lambda x: F.trim(x).startswith("{") & F.trim(x).endswith("}")), lines).otherwise(F.array("value"))
+    df = spark.read.text(path, wholetext=True).select(F.explode(documents).alias("d")).select(F.from_json("d", DOCUMENT).alias("d")).select("d.*")
     spans = df.select(F.explode("resourceSpans").alias("r")).select(F.explode("r.scopeSpans").alias("s")).select(F.explode("s.spans").alias("x")).select("x.*")
     pairs = F.transform("attributes", lambda a: F.struct(a["key"].alias("key"), F.coalesce(a["value"]["stringValue"], a["value"]["intValue"], a["value"]["doubleValue"].cast("string"), a["value"]["boolValue"].cast("string")).alias("value")))
     attrs = F.map_from_entries(F.coalesce(pairs, F.array().cast("array<struct<key:string,value:string>>")))
-    start, end = F.col("startTimeUnixNano").cast("decimal(20,0)") / 1_000_000, F.col("endTimeUnixNano").cast("decimal(20,0)") / 1_000_000
-    out = spans.select(F.col("spanId").alias("id"), F.col("parentSpanId").alias("parent_span_id"), "name", F.when(F.col("status.code") == 1, "OK").otherwise("ERROR").alias("status"), start.cast("double").alias("start_time_ms"), end.cast("double").alias("end_time_ms"), attrs.alias("attributes"))
-    duration = F.greatest(F.col("end_time_ms") - F.col("start_time_ms"), F.lit(0.0))
-    return out.withColumn("duration_ms", duration).withColumn("run_key", F.concat_ws(":", F.col("attributes")["suite_id"], F.col("attributes")["task_id"], F.col("attributes")["arm"], F.col("attributes")["run_index"]))
+    start, end = (F.col(c).cast("decimal(20,0)") / 1_000_000 for c in ("startTimeUnixNano", "endTimeUnixNano"))
+    duration = F.greatest((end - start).cast("double"), F.lit(0.0))  # before doubles lose what is below a microsecond
+    out = spans.select(F.col("spanId").alias("id"), F.col("parentSpanId").alias("parent_span_id"), "name", F.when(F.col("status.code") == 1, "OK").otherwise("ERROR").alias("status"), start.cast("double").alias("start_time_ms"), end.cast("double").alias("end_time_ms"), attrs.alias("attributes"), duration.alias("duration_ms"))
+    return out.withColumn("run_key", F.concat_ws(":", F.col("attributes")["suite_id"], F.col("attributes")["task_id"], F.col("attributes")["arm"], F.col("attributes")["run_index"]))
 
 
 def write_spans(spans: DataFrame, path: str) -> None:
     """Span rows as nested documents, one for each run."""
     attr = F.transform(F.map_entries("attributes"), lambda e: F.struct(e["key"].alias("key"), F.struct(e["value"].alias("stringValue")).alias("value")))
-    nano = lambda c: (F.col(c) * 1_000_000).cast("decimal(20,0)").cast("string")
+    nano = lambda c: (F.col(c).cast("decimal(20,6)") * 1_000_000).cast("decimal(20,0)").cast("string")
     span = F.struct(F.col("id").alias("spanId"), F.col("parent_span_id").alias("parentSpanId"), "name", nano("start_time_ms").alias("startTimeUnixNano"), nano("end_time_ms").alias("endTimeUnixNano"), F.struct(F.when(F.col("status") == "OK", 1).otherwise(2).alias("code")).alias("status"), attr.alias("attributes"))
     runs = spans.groupBy("run_key").agg(F.array_sort(F.collect_list(span)).alias("spans"))
     runs.select(F.array(F.struct(F.array(F.struct("spans")).alias("scopeSpans"))).alias("resourceSpans")).write.json(path)

@@ -26,6 +26,14 @@ def events(spark, tmp_path_factory):
     return traces.read_events(spark, str(p)).withColumn("run", F.lit("r"))
 
 
+def test_lines_are_numbered_in_each_file(spark, tmp_path):
+    for n in range(3):
+        (tmp_path / f"{n}.jsonl").write_text("".join(json.dumps({"type": f"{n}.{i}"}) + "\n" for i in range(5)))
+    events = traces.read_events(spark, str(tmp_path))
+    seen = spark.createDataFrame([(r.run_path, i, float(i)) for r in events.select("run_path").distinct().collect() for i in range(5)], "run_path string, line long, observed_ms double")
+    assert {(r.type, r.line, r.observed_ms) for r in traces.attach_timeline(events, seen).collect()} == {(f"{n}.{i}", i, float(i)) for n in range(3) for i in range(5)}
+
+
 def test_usage(events):
     r = runs.usage(events, ["run"]).first()
     assert (r.input_tokens, r.non_cached_input_tokens, r.total_tokens) == (1100, 700, 1155)
@@ -74,6 +82,13 @@ def test_spans_round_trip(spark, tmp_path):
     assert back == r
 
 
+def test_spans_of_many_runs_round_trip(spark, tmp_path):
+    rows = [(str(i), None, "n", "OK", 1_700_000_000_000.0 + i, 1_700_000_000_001.0 + 3 * i, {"task_id": f"t{i % 5}"}, f"t{i % 5}") for i in range(40)]
+    spans = spark.createDataFrame(rows, "id string, parent_span_id string, name string, status string, start_time_ms double, end_time_ms double, attributes map<string,string>, run_key string").coalesce(1)
+    traces.write_spans(spans, str(tmp_path / "out"))
+    assert {(r.id, r.duration_ms, r.run_key) for r in traces.read_spans(spark, str(tmp_path / "out")).collect()} == {(str(i), 1.0 + 2 * i, f"t{i % 5}") for i in range(40)}
+
+
 def test_tasks():
     got = traces.parse_tasks("suite: s1\ntasks:\n  - id: a\n    question: \"why?\"  # note\n    expected_files: [x.rs, 'y.rs']\n    n: 3\n  - id: b\n    expected_symbols: []\n")
     assert got == {"suite": "s1", "tasks": [{"id": "a", "question": "why?", "expected_files": ["x.rs", "y.rs"], "n": 3}, {"id": "b", "expected_symbols": []}]}
