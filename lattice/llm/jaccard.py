@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattice.llm.common import U, components, cut, in_batches, key_filter, may_have, mix, pieces, shingles, text_bytes, text_key, words
+from lattice.llm.common import U, components, cut, in_batches, key_filter, may_have, mix, pieces, release, shingles, text_bytes, text_key, words
 
 #: Counters of the frequency sketch; fixed, so what is broadcast never grows.
 SKETCH_BITS = 20
@@ -283,7 +283,9 @@ def _sets_asked(classes: DataFrame, docs: DataFrame, reps: DataFrame, k: int, wh
     if flags is None:
         texts = texts.join(asked.select(F.col("rep").alias("id")), "id", "left_semi")
     schema = f"c long, rep long, n long, {'members' if whole else 'bits'} binary"
-    return cut(in_batches(texts, _asked(k, flags, whole), schema).join(asked, ["c", "rep"], "left_semi"))
+    out = cut(in_batches(texts, _asked(k, flags, whole), schema).join(asked, ["c", "rep"], "left_semi"))
+    release(asked)
+    return out
 
 
 def _links(pairs: DataFrame, maps: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
@@ -293,7 +295,9 @@ def _links(pairs: DataFrame, maps: DataFrame, docs: DataFrame, reps: DataFrame,
     close = cut(in_batches(close, _may_link(percent), "a long, b long").distinct())
     sets = _sets_asked(close.select(F.col("a").alias("c")).union(close.select("b")), docs, reps, k, True)
     both = close.join(side(sets, "a", "rep", "members"), "a").join(side(sets, "b", "rep", "members"), "b").select("repa", "repb", "membersa", "membersb")
-    return cut(in_batches(both, _verify(percent), "a long, b long, both long, either long").distinct(), close.count())
+    links = cut(in_batches(both, _verify(percent), "a long, b long, both long, either long").distinct(), close.count())
+    release(close, sets)
+    return links
 
 
 def jaccard_join(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", all_links: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -343,6 +347,8 @@ def jaccard_join(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
         rest = cut(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
         if not rest.isEmpty():
             links = links.union(_links(rest, maps, docs, by_class, k, percent))
+        release(per, rest)
+    release(found, maps)
     part = components(links, links.count())
     named = told.join(reps, ["h1", "h2"], "left").join(part, F.col("rep") == F.col("node"), "left")
     out = named.select("id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component_id"))
