@@ -42,7 +42,7 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def distinct_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, 80 %), the rows with the smallest id.
 
-    A decision is a row's, by id and text. Null, empty and wordless texts are near nothing and stay. A row without an id stays. Rows with the same id and text are all kept or all dropped. Texts are compared whole. All columns of docs are returned as they were; an empty table stays empty."""
+    A decision is a row's, by id and text. Null, empty and wordless texts are near nothing and stay. A row without an id stays. An id is one document: where rows of one id have different texts, the groups of those texts are one group. Rows with the same id and text are all kept or all dropped. Texts are compared whole. All columns of docs are returned as they were; an empty table stays empty."""
     found, _ = jaccard.jaccard_join(docs)
     return _without(docs, found.where("id <> component_id").select("id", F.col("text_key").alias("mark")), common.text_key)
 
