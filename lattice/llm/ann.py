@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,15 +65,15 @@ class Tile:
         self.scale, self.lost = scale, np.sqrt(((unit - self.int8 * scale[:, None]) ** 2).sum(axis=1))
 
 
-def nearest_in(q: Tile, c: Tile, k: int, best: list[tuple[np.ndarray, np.ndarray]]) -> None:
-    """Improve the k best (scores, ids) of each query by a tile of candidates."""
+def nearest_in(q: Tile, c: Tile, k: int, best: list[list[tuple[float, int]]]) -> None:
+    """Improve the k best (score below 0, id) of each query by a tile of candidates, merged by a heap."""
     # int8 products of fewer than 1000 dimensions are exact in float32, and then as fast as the machine multiplies
     form = np.float32 if q.int8.shape[1] < 1000 else np.float64
     near = (q.int8.astype(form) @ c.int8.astype(form).T).astype(np.float64) * q.scale[:, None] * c.scale[None, :]
     off = q.lost[:, None] + (1 + q.lost[:, None]) * c.lost[None, :] + 1e-9
     own = q.ids[:, None] == c.ids[None, :]
     low = np.where(own, -np.inf, near - off)
-    floor = np.array([b[0][-1] if len(b[0]) == k else -np.inf for b in best]) - 1e-9
+    floor = np.array([-b[-1][0] if len(b) == k else -np.inf for b in best]) - 1e-9
     if low.shape[1] >= k:
         floor = np.maximum(floor, np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k])
     row, col = np.nonzero((near + off >= floor[:, None]) & ~own)
@@ -84,10 +85,8 @@ def nearest_in(q: Tile, c: Tile, k: int, best: list[tuple[np.ndarray, np.ndarray
     for n in range(len(q.ids)):
         a, b = bounds[n], bounds[n + 1]
         if a < b:
-            all_scores = np.concatenate([best[n][0], scores[a:b]])
-            all_ids = np.concatenate([best[n][1], c.ids[col[a:b]]])
-            order = np.lexsort((all_ids, -all_scores))[:k]
-            best[n] = (all_scores[order], all_ids[order])
+            found = zip((-scores[a:b]).tolist(), c.ids[col[a:b]].tolist(), strict=True)
+            best[n] = heapq.nsmallest(k, [*best[n], *found])
 
 
 def _meet(k: int, kind: str):
@@ -96,11 +95,11 @@ def _meet(k: int, kind: str):
         out: list[tuple] = []
         for row in queries.select(["dims", "ids", "data"]).to_pylist():
             q = Tile(*row.values(), kind)
-            best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in q.ids]
+            best: list[list[tuple[float, int]]] = [[] for _ in q.ids]
             for c in tiles:
                 if c.rows.shape[1] == q.rows.shape[1]:
                     nearest_in(q, c, k, best)
-            out += [(int(i), int(v), float(s)) for i, (scores, ids) in zip(q.ids, best, strict=True) for s, v in zip(scores, ids, strict=True)]
+            out += [(int(i), v, -s) for i, held in zip(q.ids, best, strict=True) for s, v in held]
         return pa.table([pa.array([r[m] for r in out], t) for m, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
     return run
