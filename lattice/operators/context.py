@@ -14,6 +14,7 @@ from lattice.operators.search import search_symbols
 # Bounds of a report.
 SCAN, KEEP, RELATIONS, PER_KIND, CALLERS, DEPENDENCIES = 800, 40, 160, 64, 30, 32
 HYPEREDGES, PARTICIPANTS = 48, 24
+PER_SEED, PER_PACKAGE = 32, 64
 WHOLE_FILE, AROUND = 220, 3
 
 
@@ -70,8 +71,9 @@ def relationships(relations: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def blast_radius(relations: DataFrame, elements: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Callers of the seeds (id, rank), each once, by seed and id, at most CALLERS; and whether they are tests."""
+    """Callers of the seeds (id, rank), the first PER_SEED calls of each, each caller once, by seed and id, at most CALLERS; and whether they are tests."""
     calls = relations.where("kind = 'calls'").join(F.broadcast(seeds.select(F.col("id").alias("target_id"), "rank")), "target_id")
+    calls = calls.withColumn("n", F.row_number().over(W.partitionBy("target_id").orderBy("id"))).where(F.col("n") <= PER_SEED)
     first = calls.groupBy(F.col("source_id").alias("id")).agg(F.min("rank").alias("rank"))
     named = first.join(elements, "id").select("id", "rank", "qualified_name", text.test_like(F.col("file_path")).alias("is_test"))
     return named.orderBy("rank", "id").limit(CALLERS)
@@ -90,11 +92,14 @@ def hyperedges(graph: Graph, chosen: DataFrame) -> DataFrame:
     return shown.groupBy("relation_id", "score").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "role", "element_id"))), lambda x: F.struct(x["role"].alias("role"), x["element_id"].alias("element_id"))).alias("participants"))
 
 
-def package_dependencies(lifted: DataFrame, elements: DataFrame) -> DataFrame:
-    """Dependencies between packages by name."""
-    p = elements.where("kind = 'package'")
-    a, b = p.select(F.col("id").alias("source_id"), F.col("name").alias("source")), p.select(F.col("id").alias("target_id"), F.col("name").alias("target"))
-    return lifted.join(a, "source_id").join(b, "target_id").select("source", "target").distinct().orderBy("source", "target").limit(DEPENDENCIES)
+def package_dependencies(lifted: DataFrame, elements: DataFrame, packages: tuple[str, ...] | None = None) -> DataFrame:
+    """Dependencies between packages by name, of the named packages or of all: the first PER_PACKAGE of each, at most DEPENDENCIES."""
+    p = elements.where("kind = 'package'").select("id", "name")
+    own = p if packages is None else p.where(F.col("name").isin(*packages))
+    a, b = own.select(F.col("id").alias("source_id"), F.col("name").alias("source")), p.select(F.col("id").alias("target_id"), F.col("name").alias("target"))
+    found = lifted.join(a, "source_id").join(b, "target_id").select("source", "target").distinct()
+    n = F.row_number().over(W.partitionBy("source").orderBy("target"))
+    return found.withColumn("n", n).where(F.col("n") <= PER_PACKAGE).drop("n").orderBy("source", "target").limit(DEPENDENCIES)
 
 
 def candidates(graph: Graph, query: str, limit: int = 8) -> DataFrame:

@@ -81,6 +81,19 @@ def expand(graph: Graph, ids: DataFrame) -> DataFrame:
     return ids.join(graph.elements.select("id", "kind", "name", "qualified_name", "file_path", "start_line", "end_line"), "id", "left")
 
 
+def expand_relations(graph: Graph, ids: DataFrame) -> DataFrame:
+    """Ids of relations with what they join: kind, both ends with their names, how sure it is, and where it is written."""
+    ends = [graph.elements.select(F.col("id").alias(f"{end}_id"), F.col("qualified_name").alias(end)) for end in ("source", "target")]
+    known = graph.relations.select("id", "kind", "source_id", "target_id", "resolution", "site_line", "site_text")
+    return ids.join(known, "id").join(ends[0], "source_id", "left").join(ends[1], "target_id", "left").select("id", "kind", "source_id", "source", "target_id", "target", "resolution", "site_line", "site_text")
+
+
+def run_expanded(graph: Graph, query: str) -> DataFrame:
+    """A query's rows with what they stand for: symbols, or relations with their ends; the catalog as it is."""
+    form, rows = parse(query).form, run(graph, query)
+    return rows if form == "catalog" else expand_relations(graph, rows) if form == "relations" else expand(graph, rows)
+
+
 @dataclass(frozen=True)
 class Navigation:
     edge: str

@@ -130,7 +130,7 @@ def _indexed(spark: SparkSession, name: str = "project") -> tuple[dict, project.
 @fixed
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats, _ = _indexed(spark)
-    return spark.createDataFrame([(k, int(stats[k])) for k in ("files", "failed", "partial", "symbols", "unresolved")], "name string, n long")
+    return spark.createDataFrame([(k, int(stats[k])) for k in ("files", "failed", "partial", "symbols", "unresolved", "skipped")], "name string, n long")
 
 
 @fixed
@@ -188,6 +188,43 @@ def query_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.query_expanded("MATCH ELEMENTS HAS LABEL function").select("kind", "name", "qualified_name", "file_path", "start_line")
 
 
+@fixed
+def expanded_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, index = _indexed(spark)
+    return index.query_expanded("MATCH RELATIONS TYPE calls").select("kind", "source", "target", "resolution", "site_line", "site_text")
+
+
+@fixed
+def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, index = _indexed(spark)
+    return index.call_edges("a_one::start", "both", 2, 10).select("source", "target", "depth", "resolution")
+
+
+@fixed
+def described_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = _indexed(spark)[1].describe_symbol("name:start")
+    return spark.createDataFrame([tuple(one[c] for c in ("kind", "qualified_name", "signature", "docstring", "start_line", "end_line"))], "kind string, qualified_name string, signature string, docstring string, start_line long, end_line long")
+
+
+@fixed
+def unsupported_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = ["a.rs", "b.liquid", "c.hxx", "d.txt", "e/f.dpr", "noext", "x.tar.mm", ".liquid", "g.py"]
+    return spark.createDataFrame([(p,) for p in paths], "path string").select("path", tree.unsupported(F.col("path")).alias("unsupported"))
+
+
+@fixed
+def ambiguous_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of selectors that should name one symbol."""
+    w = Warehouse(spark, sf_dir)
+    out = []
+    for q in ("NATION_3", "name:NATION_3", "name:red widget", "file:src/ASIA/mod.rs:2", "element:x"):
+        try:
+            out.append((q, search.the_one(w.elements(), q).first()["id"], None))
+        except search.NotOne as e:
+            out.append((q, None, len(e.candidates)))
+    return spark.createDataFrame(out, "selector string, id long, candidates long")
+
+
 @fixed
 def store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table stored twice: keys keep their ids, those that are gone go, new ones get the next."""

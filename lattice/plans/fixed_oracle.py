@@ -99,7 +99,7 @@ REFERENCES = (
     ("ruby", "calls", "go", None, 4), ("kotlin", "calls", "g", None, 2), ("swift", "calls", "g", None, 2), ("php", "calls", "g", None, 3), ("scala", "calls", "g", None, 2), ("lua", "calls", "g", None, 2), ("luau", "calls", "g", None, 2),
 )
 EXTENSIONS = (
-    ("rust", "rs"), ("go", "go"), ("typescript", "cts,mts,ts,tsx"), ("javascript", "cjs,js,jsx,mjs"), ("svelte", "svelte"), ("vue", "vue"), ("python", "py,pyi"), ("java", "java"), ("c", "c,h"), ("cpp", "cc,cpp,cxx,hh,hpp"), ("csharp", "cs"), ("php", "php"), ("ruby", "rb"), ("swift", "swift"), ("kotlin", "kt,kts"), ("scala", "sc,scala"), ("dart", "dart"), ("lua", "lua"), ("luau", "luau"), ("objc", "m"), ("pascal", "pas,pp"),
+    ("rust", "rs"), ("go", "go"), ("typescript", "cts,mts,ts,tsx"), ("javascript", "cjs,js,jsx,mjs"), ("svelte", "svelte"), ("vue", "vue"), ("python", "py,pyi"), ("java", "java"), ("c", "c,h"), ("cpp", "cc,cpp,cxx,hh,hpp,hxx"), ("csharp", "cs"), ("php", "php"), ("ruby", "rb"), ("swift", "swift"), ("kotlin", "kt,kts"), ("scala", "sc,scala"), ("dart", "dart"), ("lua", "lua"), ("luau", "luau"), ("objc", "m,mm"), ("pascal", "dpk,dpr,lpr,pas"),
 )
 _A, _B, _PY = "symbol:crates/a/src/lib.rs:function:a_one::", "symbol:crates/b/src/lib.rs:", "symbol:_tools/run.py:function:_tools::run::main#0"
 _LOST = f"unresolved:{_A}start#0:calls:missing:60"
@@ -155,13 +155,20 @@ FIXED_ORACLE: dict[str, str] = {
     "extraction_status": _rows("path VARCHAR, parse_status VARCHAR, message VARCHAR, nodes BIGINT", ("a.rs", "partial", None, 2), ("b.rs", "ok", None, 2), ("c.py", "partial", None, 2), ("d.py", "failed", "unreadable", 0)),
     "language_support": _rows("language VARCHAR, extensions VARCHAR", *EXTENSIONS),
     "tree_files": "SELECT path, language, scope, sha256(content) AS content_hash FROM (" + _rows("path VARCHAR, language VARCHAR, scope VARCHAR, content VARCHAR", *FILES) + ") t",
-    "index_stats": _rows("name VARCHAR, n BIGINT", ("files", 4), ("failed", 0), ("partial", 0), ("symbols", 13), ("unresolved", 1)),
+    "index_stats": _rows("name VARCHAR, n BIGINT", ("files", 4), ("failed", 0), ("partial", 0), ("symbols", 13), ("unresolved", 1), ("skipped", 1)),
     "index_symbols": _rows("stable_key VARCHAR, kind VARCHAR, qualified_name VARCHAR", *ELEMENTS),
     "index_relations": _rows("source VARCHAR, kind VARCHAR, target VARCHAR, resolution VARCHAR, site_line BIGINT", *RELATIONS),
     "index_hyperedges": _rows("kind VARCHAR, participants VARCHAR", *HYPEREDGES),
     "index_again": _rows("stable_key VARCHAR, state VARCHAR", *AGAIN),
     "call_graph": _rows("depth INT, qualified_name VARCHAR", (0, "a_one::start"), (1, "a_one::inner"), (0, "b::bar"), (1, "a_one::start"), (1, "b::S::go")),
     "query_rows": _rows("kind VARCHAR, name VARCHAR, qualified_name VARCHAR, file_path VARCHAR, start_line BIGINT", ("function", "bar", "b::bar", "crates/b/src/lib.rs", 1), ("function", "inner", "a_one::inner", "crates/a/src/lib.rs", 4), ("function", "main", "_tools::run::main", "_tools/run.py", 1), ("function", "start", "a_one::start", "crates/a/src/lib.rs", 3)),
+    "expanded_relations": _rows("kind VARCHAR, source VARCHAR, target VARCHAR, resolution VARCHAR, site_line BIGINT, site_text VARCHAR", ("calls", "a_one::start", "b::bar", "exact", 3, "b::bar"), ("calls", "a_one::start", "a_one::inner", "scoped", 3, "inner"), ("calls", "b::S::go", "b::bar", "scoped", 3, "bar")),
+    "call_edges": _rows("source VARCHAR, target VARCHAR, depth INT, resolution VARCHAR", ("a_one::start", "b::bar", 1, "exact"), ("a_one::start", "a_one::inner", 1, "scoped"), ("b::S::go", "b::bar", 2, "scoped")),
+    "described_symbol": _rows("kind VARCHAR, qualified_name VARCHAR, signature VARCHAR, docstring VARCHAR, start_line BIGINT, end_line BIGINT", ("function", "a_one::start", "pub fn start()", "Starts.", 3, 3)),
+    "unsupported_files": _rows("path VARCHAR, unsupported BOOLEAN", ("a.rs", False), ("b.liquid", True), ("c.hxx", False), ("d.txt", False), ("e/f.dpr", False), ("noext", False), ("x.tar.mm", False), (".liquid", True), ("g.py", False)),
+    "ambiguous_selectors": f"""WITH {E}, p(selector, one) AS (VALUES ('NATION_3', false), ('name:NATION_3', true), ('name:red widget', false), ('file:src/ASIA/mod.rs:2', true), ('element:x', false))
+      SELECT selector, CASE selector WHEN 'name:NATION_3' THEN (SELECT id FROM e WHERE name = 'NATION_3') WHEN 'file:src/ASIA/mod.rs:2' THEN (SELECT id FROM e WHERE file_path = 'src/ASIA/mod.rs') END AS id,
+      CASE WHEN NOT one THEN CASE selector WHEN 'name:red widget' THEN (SELECT count(*) FROM e WHERE name = 'red widget') ELSE 0 END END AS candidates FROM p""",
     "store_versions": _rows("key VARCHAR, size BIGINT, kept BOOLEAN, after_all BOOLEAN, digest VARCHAR, seq BIGINT", ("bb", None, True, False, "two", 2), ("ccc", 3, True, False, "two", 2), ("dddd", 4, None, True, "two", 2), ("eeeee", 5, None, True, "two", 2)),
     "run_usage": """SELECT user_id, i AS input_tokens, c AS cached_input_tokens, o AS output_tokens, greatest(i - c, 0) AS non_cached_input_tokens, i + o AS total_tokens, round((greatest(i - c, 0) * 1.25::DOUBLE + c * 0.125::DOUBLE + o * 10.0::DOUBLE) / 1e6, 9) AS cost_usd
       FROM (SELECT user_id, sum(floor(value * 10)::BIGINT)::BIGINT AS i, sum(floor(value * 3)::BIGINT)::BIGINT AS c, sum(floor(value)::BIGINT)::BIGINT AS o FROM events GROUP BY 1) t""",

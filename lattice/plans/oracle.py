@@ -139,7 +139,8 @@ ORACLE: dict[str, str] = {
     "walk_query": _walk(6000000020, "'calls'", "both", 2, _limited(60)),
     "ancestors": """WITH o AS (SELECT 6000000000 + o_orderkey AS id, 4000000000 + c_custkey AS a, 2000000000 + n_nationkey AS b, 1000000000 + n_regionkey AS c FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
       SELECT id::BIGINT AS id, a::BIGINT AS ancestor_id, 1 AS depth FROM o UNION ALL SELECT id, b, 2 FROM o UNION ALL SELECT id, c, 3 FROM o""",
-    "blast_radius": f"""WITH {E}, {R}, c AS (SELECT source_id AS id, min(target_id - 5000000000)::INT AS rank FROM r WHERE kind = 'calls' AND target_id IN (5000000001, 5000000002) GROUP BY 1)
+    "blast_radius": f"""WITH {E}, {R}, x AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY id) AS n FROM r WHERE kind = 'calls' AND target_id IN (5000000001, 5000000002)),
+      c AS (SELECT source_id AS id, min(target_id - 5000000000)::INT AS rank FROM x WHERE n <= 32 GROUP BY 1)
       SELECT c.id, rank, qualified_name, {TEST} AS is_test FROM c JOIN e ON c.id = e.id ORDER BY rank, c.id LIMIT 30""",
     "context_relations": f"""WITH {R}, x AS (SELECT *, row_number() OVER (PARTITION BY source_id, kind ORDER BY id) AS n FROM r WHERE kind = 'calls' AND source_id BETWEEN 6000000000 AND 6000000030 AND target_id BETWEEN 5000000000 AND 5000000400)
       SELECT id AS relation_id, source_id, target_id FROM x WHERE n <= 64 ORDER BY source_id, kind, id LIMIT 160""",

@@ -80,7 +80,7 @@ def index_project(spark: SparkSession, root: str, folder: str | None = None, pro
     read = cut(tree.contents(tree.files(spark, root), root))
     hashes = read.select("path", F.concat_ws(":", F.coalesce("content_hash", F.lit("unreadable")), F.array_join("scope", "::")).alias("content_hash"))
     digest = reconcile.digest(hashes).first()
-    digest = digest["digest"] if digest and digest["digest"] else "empty"
+    digest = f"{tree.FORMAT}:{digest['digest'] if digest and digest['digest'] else 'empty'}"
     now = store.commit()
     if now and now["digest"] == digest:
         return now["stats"]
@@ -105,7 +105,7 @@ def index_project(spark: SparkSession, root: str, folder: str | None = None, pro
     incidences = whole.withColumnRenamed("id", "element_id").join(hyperedges.withColumnRenamed("id", "relation_id"), "hyper_key").select("relation_id", "element_id", "role", "kind")
     counts = made.agg(F.count("*").alias("files"), F.count_if(F.col("parse_status") == "failed").alias("failed"), F.count_if(F.col("parse_status") == "partial").alias("partial")).first().asDict()
     more = elements.agg(F.count_if(F.col("kind") != "unresolved_reference").alias("symbols"), F.count_if(F.col("kind") == "unresolved_reference").alias("unresolved")).first().asDict()
-    stats = {**counts, **more, "edges": relations.count(), "skipped": read.where("language is null and lower(path) like '%.liquid'").count()}
+    stats = {**counts, **more, "edges": relations.count(), "skipped": read.where(tree.unsupported(F.col("path"))).count()}
     store.publish({"elements": elements, "relations": relations, "incidences": incidences, "hyperedges": hyperedges, "extractions": made}, digest, stats)
     return stats
 
@@ -141,6 +141,17 @@ class ProjectIndex:
         seed = search.the_one(self.graph.elements, selector)
         return graph.walk(self.graph.relations, seed, (EdgeKind.CALLS,), direction, depth, limit)
 
+    def call_edges(self, selector: str, direction: str = "outgoing", depth: int = 1, limit: int = 100) -> DataFrame:
+        """The calls among what call_graph finds, with their ends and the greater of the ends' depths."""
+        found = cut(self.call_graph(selector, direction, depth, limit))
+        edges = cut(graph.walk_edges(self.graph.relations, found, (EdgeKind.CALLS,)).select(F.col("relation_id").alias("id"), "depth"))
+        return language.expand_relations(self.graph, edges.select("id")).join(edges, "id")
+
+    def describe_symbol(self, selector: str) -> dict:
+        """The one symbol of a selector, whole; NotOne if there is none or more than one."""
+        one = search.the_one(self.graph.elements, selector)
+        return search.without_words(self.graph.elements.join(one, "id", "left_semi")).first().asDict()
+
     def navigate(self, query: str) -> DataFrame:
         return language.navigate(self.graph, query)
 
@@ -151,7 +162,7 @@ class ProjectIndex:
         return language.explain(self.graph, query)
 
     def query_expanded(self, query: str) -> DataFrame:
-        return language.expand(self.graph, self.query(query))
+        return language.run_expanded(self.graph, query)
 
     def context(self, query: str, limit: int = 8, depth: int = 1, max_bytes: int = 20_000) -> dict:
         """A report for a task: files as skeletons within a budget, and what surrounds the symbols shown. depth is accepted and makes no difference."""
@@ -177,7 +188,8 @@ class ProjectIndex:
         calls = [(r["source_id"], r["target_id"]) for r in related if r["kind"] == "calls"]
         seeds = chosen.where("rank <= 8").select("id", "rank")
         blast = context.blast_radius(self.graph.relations, self.graph.elements, seeds).collect()
-        deps = context.package_dependencies(self.graph.relations.where("kind = 'depends_on'").select("source_id", "target_id"), self.graph.elements).collect()
+        crates = tuple(sorted({name for r in shown if (name := r["qualified_name"].split("::")[0])}))
+        deps = context.package_dependencies(self.graph.relations.where("kind = 'depends_on'").select("source_id", "target_id"), self.graph.elements, crates).collect()
         return {
             "query": query,
             "budget": {"max_bytes": max_bytes, "used": total, "truncated": truncated},

@@ -10,8 +10,8 @@ from dataclasses import dataclass, field
 
 EXTENSIONS = {
     "rs": "rust", "go": "go", "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
-    "svelte": "svelte", "vue": "vue", "py": "python", "pyi": "python", "java": "java", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "cs": "csharp", "php": "php", "rb": "ruby",
-    "swift": "swift", "kt": "kotlin", "kts": "kotlin", "scala": "scala", "sc": "scala", "dart": "dart", "lua": "lua", "luau": "luau", "m": "objc", "pas": "pascal", "pp": "pascal",
+    "svelte": "svelte", "vue": "vue", "py": "python", "pyi": "python", "java": "java", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp", "cs": "csharp", "php": "php", "rb": "ruby",
+    "swift": "swift", "kt": "kotlin", "kts": "kotlin", "scala": "scala", "sc": "scala", "dart": "dart", "lua": "lua", "luau": "luau", "m": "objc", "mm": "objc", "pas": "pascal", "dpr": "pascal", "dpk": "pascal", "lpr": "pascal",
 }
 #: Languages that share a grammar with arrows, and what begins a line of comment where it isn't two slashes.
 SCRIPTS = ("typescript", "javascript", "svelte", "vue")

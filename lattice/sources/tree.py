@@ -9,7 +9,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,11 @@ from lattice.sources import extract
 
 # Folders that are never entered, and files whose change calls for new scopes everywhere.
 SKIPPED = (".git", ".lattice", "target", "node_modules", "vendor")
-MANIFESTS = ("Cargo.toml", "go.mod", "package.json", "pyproject.toml", "__init__.py")
+# Extensions of source files, with or without an extractor.
+RECOGNIZED = (
+    "rs", "ts", "tsx", "js", "jsx", "mts", "cts", "mjs", "cjs", "py", "pyi", "go", "java", "c", "h", "cpp", "cc", "cxx", "hpp", "hh", "hxx", "cs", "php", "rb", "swift", "kt", "kts", "scala",
+    "sc", "dart", "lua", "luau", "m", "mm", "pas", "dpr", "dpk", "lpr", "svelte", "vue", "liquid",
+)
 
 FILES = T.StructType([T.StructField("path", T.StringType(), False), T.StructField("language", T.StringType()), T.StructField("scope", T.ArrayType(T.StringType()), False)])
 EXTRACTION = T.StructType(
@@ -35,6 +39,15 @@ EXTRACTION = T.StructType(
 )
 
 
+#: What extractions and snapshots are made by: rows of another form, or of extractors before a change, are never taken for current ones.
+FORMAT = hashlib.sha256(f"3:{EXTRACTION.simpleString()}".encode()).hexdigest()[:16]
+
+
+def unsupported(path: Column) -> Column:
+    """A source file that no extractor reads."""
+    return F.regexp_extract(path, r"\.([^./]+)$", 1).isin(*(x for x in RECOGNIZED if x not in extract.EXTENSIONS))
+
+
 def _rule(line: str) -> tuple[re.Pattern, bool, bool] | None:
     line = line.rstrip("\n").rstrip()
     if not line or line.startswith("#"):
@@ -193,7 +206,7 @@ def extractions(read: DataFrame) -> DataFrame:
 
 def reuse(read: DataFrame, cache: DataFrame | None) -> DataFrame:
     """Extractions of files whose path, content and scope are in the cache are taken from there; the rest are made."""
-    read = read.withColumn("cache_key", F.sha2(F.concat_ws("\x1f", "path", "content_hash", F.array_join("scope", "::")), 256))
+    read = read.withColumn("cache_key", F.sha2(F.concat_ws("\x1f", F.lit(FORMAT), "path", "content_hash", F.array_join("scope", "::")), 256))
     if cache is None:
         made = extractions(read)
         return made.join(read.select("path", "cache_key"), "path")
