@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -64,17 +64,18 @@ def _start(seeds: DataFrame) -> DataFrame:
 
 
 def _rounds(steps: DataFrame, start: DataFrame, rounds: int, alpha: float) -> DataFrame:
-    """(id, rank) after so many rounds along steps (src, dst, w). What is moved in a round is cut, and its sum comes to the driver, so a round runs once and its plan doesn't grow."""
-    rank, before = start.select("id", F.col("p").alias("rank")), None
+    """(id, rank) after so many rounds along steps (src, dst, w). What is moved in a round is cut, and its sum is observed as it is written, so a round is one job and its plan doesn't grow. Steps are dealt out by src once for all rounds; what is lost of them is read again."""
+    steps, rank, before = steps.repartition("src").persist(), start.select("id", F.col("p").alias("rank")), None
     for _ in range(rounds):
         moved = steps.join(rank, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("w")).alias("moved"))
-        moved = cut(moved)
-        kept = moved.agg(F.coalesce(F.sum("moved"), F.lit(0.0))).first()[0]
-        back = start.select("id", (F.col("p") * (1 - alpha * kept)).alias("rank"))
+        total = Observation()
+        moved = cut(moved.observe(total, F.coalesce(F.sum("moved"), F.lit(0.0)).alias("kept")))
+        back = start.select("id", (F.col("p") * (1 - alpha * total.get["kept"])).alias("rank"))
         rank = moved.select("id", (alpha * F.col("moved")).alias("rank")).union(back).groupBy("id").agg(F.sum("rank").alias("rank"))
         if before is not None:
             release(before)
         before = moved
+    steps.unpersist()
     return rank
 
 
