@@ -166,9 +166,9 @@ FIXED_ORACLE: dict[str, str] = {
     "call_edges": _rows("source VARCHAR, target VARCHAR, depth INT, resolution VARCHAR", ("a_one::start", "b::bar", 1, "exact"), ("a_one::start", "a_one::inner", 1, "scoped"), ("b::S::go", "b::bar", 2, "scoped")),
     "described_symbol": _rows("kind VARCHAR, qualified_name VARCHAR, signature VARCHAR, docstring VARCHAR, start_line BIGINT, end_line BIGINT", ("function", "a_one::start", "pub fn start()", "Starts.", 3, 3)),
     "unsupported_files": _rows("path VARCHAR, unsupported BOOLEAN", ("a.rs", False), ("b.liquid", True), ("c.hxx", False), ("d.txt", False), ("e/f.dpr", False), ("noext", False), ("x.tar.mm", False), (".liquid", True), ("g.py", False)),
-    "ambiguous_selectors": f"""WITH {E}, p(selector, one) AS (VALUES ('NATION_3', false), ('name:NATION_3', true), ('name:red widget', false), ('file:src/ASIA/mod.rs:2', true), ('element:x', false))
-      SELECT selector, CASE selector WHEN 'name:NATION_3' THEN (SELECT id FROM e WHERE name = 'NATION_3') WHEN 'file:src/ASIA/mod.rs:2' THEN (SELECT id FROM e WHERE file_path = 'src/ASIA/mod.rs') END AS id,
-      CASE WHEN NOT one THEN CASE selector WHEN 'name:red widget' THEN (SELECT count(*) FROM e WHERE name = 'red widget') ELSE 0 END END AS candidates FROM p""",
+    "ambiguous_selectors": f"""WITH {E}, p(selector) AS (VALUES ('NATION_3'), ('name:NATION_3'), ('name:red widget'), ('file:src/ASIA/mod.rs:2'), ('element:x')),
+      m AS (SELECT selector, e.id FROM p LEFT JOIN e ON selector = concat('name:', name) OR selector = qualified_name OR (selector = 'file:src/ASIA/mod.rs:2' AND file_path = 'src/ASIA/mod.rs')),
+      c AS (SELECT selector, count(id) AS n, min(id) AS id FROM m GROUP BY 1) SELECT selector, CASE WHEN n = 1 THEN id END AS id, CASE WHEN n <> 1 THEN n END AS candidates FROM c""",
     "store_versions": _rows("key VARCHAR, size BIGINT, kept BOOLEAN, after_all BOOLEAN, digest VARCHAR, seq BIGINT", ("bb", None, True, False, "two", 2), ("ccc", 3, True, False, "two", 2), ("dddd", 4, None, True, "two", 2), ("eeeee", 5, None, True, "two", 2)),
     "run_usage": """SELECT user_id, i AS input_tokens, c AS cached_input_tokens, o AS output_tokens, greatest(i - c, 0) AS non_cached_input_tokens, i + o AS total_tokens, round((greatest(i - c, 0) * 1.25::DOUBLE + c * 0.125::DOUBLE + o * 10.0::DOUBLE) / 1e6, 9) AS cost_usd
       FROM (SELECT user_id, sum(floor(value * 10)::BIGINT)::BIGINT AS i, sum(floor(value * 3)::BIGINT)::BIGINT AS c, sum(floor(value)::BIGINT)::BIGINT AS o FROM events GROUP BY 1) t""",
