@@ -206,3 +206,13 @@ FIXED_ORACLE: dict[str, str] = {
       q AS (SELECT id, k, row_number() OVER (ORDER BY round(k, 12) DESC, id) AS n FROM k{oracle.ROUNDS}) SELECT id, n::INT AS rank, round(k, 9) AS pagerank FROM q WHERE n <= 40""",
     "raw_queries": _rows("query VARCHAR, structured BOOLEAN, form VARCHAR", *QUERIES),
 }
+_CANDIDATES = FIXED_ORACLE["context_candidates"]
+FIXED_ORACLE |= {
+    "context_report": f"""WITH {E}, q AS ({_CANDIDATES}), f AS (SELECT file_path, min(rank) AS file_rank, count(*) AS symbols, least(sum(greatest(end_byte - start_byte, 0)), 5000)::BIGINT AS bytes FROM e JOIN q USING (id) GROUP BY 1),
+      x AS (SELECT *, sum(bytes) OVER (ORDER BY file_rank)::BIGINT AS running, row_number() OVER (ORDER BY file_rank) AS n FROM f) SELECT file_path, file_rank, symbols, bytes, running FROM x WHERE n = 1 OR running <= 20000""",
+    "context_relations_selected": f"""WITH {R}, q AS MATERIALIZED ({_CANDIDATES}), x AS (SELECT *, row_number() OVER (PARTITION BY source_id, kind ORDER BY id) AS n FROM r WHERE source_id IN (SELECT id FROM q) AND target_id IN (SELECT id FROM q))
+      SELECT id AS relation_id, source_id, target_id FROM x WHERE n <= 64 ORDER BY source_id, kind, id LIMIT 160""",
+    "longest_path": f"""WITH RECURSIVE {R}, q AS MATERIALIZED ({_CANDIDATES}), g AS MATERIALIZED (SELECT DISTINCT source_id AS a, target_id AS b FROM r WHERE source_id <> target_id AND source_id IN (SELECT id FROM q) AND target_id IN (SELECT id FROM q)),
+      v(here, chain) AS (SELECT a, [a] FROM (SELECT DISTINCT a FROM g) z UNION ALL SELECT b, list_append(chain, b) FROM v JOIN g ON a = here WHERE NOT list_contains(chain, b)),
+      best AS (SELECT chain FROM v WHERE len(chain) > 1 ORDER BY len(chain) DESC, chain LIMIT 1) SELECT (unnest(range(len(chain))))::INT AS position, unnest(chain) AS id FROM best""",
+}
