@@ -124,7 +124,7 @@ class Packer:
         return -self.number(bins), sum(n * (sum(c) / self.capacity) ** 2 for c, n in bins.items())
 
     def cross(self, mother: Bins, father: Bins) -> Bins:
-        """A section of the father's well-filled bins enters the child whole; the mother's well-filled bins follow as far as no item comes twice; all displaced items are best-fitted, longest first."""
+        """A section of the father's well-filled bins enters the child whole; the mother's well-filled bins follow as far as no item comes twice, but for some of those with the most items, whose short items can fill what long ones leave; all displaced items are best-fitted, longest first."""
         left, child = dict(self.counts), {}
 
         def take(content: tuple[int, ...], n: int) -> None:
@@ -141,9 +141,9 @@ class Packer:
         begin, end = sorted(self.rng.choice(len(filled) + 1, 2)) if filled else (0, 0)
         for c in filled[begin:end]:
             take(c, father[c])
-        for c in sorted(mother, key=lambda c: (-sum(c), c)):
-            if sum(c) >= FILLED * self.capacity:
-                take(c, mother[c])
+        own = sorted((c for c in mother if sum(c) >= FILLED * self.capacity), key=lambda c: (len(c), c))
+        for c in own[: self.rng.integers(len(own) // 2, len(own) + 1)]:
+            take(c, mother[c])
         return self.fit([(k, left[k]) for k in sorted(left, reverse=True) if left[k]], child)
 
 

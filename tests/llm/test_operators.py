@@ -232,6 +232,23 @@ def test_crossover_makes_the_plan_of_the_real_table(spark, sf):
     assert min(packer.number(packing.Packer(counts, 2048, i).seed_bins(x)) for i in range(3) for x in packing.DISTURBED) > packer.least
 
 
+def test_packing_is_no_worse_than_best_fit_with_a_group_of_like_lengths(spark):
+    rng = np.random.default_rng(0)
+    lengths = np.clip(rng.lognormal(6, 0.8, 20_000), 2, 2047).astype(int)
+    lengths[:5000] = rng.integers(325, 336, 5000)
+    counts = {int(k): int(n) for k, n in Counter(lengths.tolist()).items()}
+    bins, generation = packing.plan_bins(spark, counts, 2048)
+    packer = packing.Packer(counts, 2048, 0)
+    assert generation > 0
+    assert packer.number(bins) <= packer.number(packer.seed_bins(0.0))
+    held = Counter()
+    for content, n in bins.items():
+        assert sum(content) <= 2048
+        for k in content:
+            held[k] += n
+    assert held == counts
+
+
 def test_packer_improves():
     rng = np.random.default_rng(3)
     counts = Counter(int(x) for x in rng.integers(300, 900, 400))
