@@ -168,3 +168,48 @@ def test_store(spark, tmp_path):
 def test_keys_are_injective(spark):
     df = spark.createDataFrame([("a", "b:c"), ("a:b", "c"), ("a", None)], "x string, y string")
     assert df.select(text.composite_key(F.col("x"), F.col("y")).alias("k")).distinct().count() == 3
+
+
+def looked_up_by_hand(names, refs, imports):
+    """The tiers one by one, as the SQL has them: {ref: (targets, tier)}."""
+    base = {}
+    for f, local, path, i in sorted(imports, key=lambda x: (x[3], x[2])):
+        base.setdefault((f, local), path)
+    out = {}
+    for ref, source, source_name, f, path, qualifier in refs:
+        if source not in {n[0] for n in names} or not path:
+            continue
+        joined, scope = "::".join(path), source_name.split("::")
+        whole = [[joined]] + [["::".join([*scope[:k], joined])] for k in range(len(scope) - 1, 0, -1)]
+        owner = qualifier.split("::")[-1] if qualifier else path[-2] if len(path) > 1 else None
+        tiers = [("exact", whole[0])] + [("scoped", w) for w in whole[1:]] + ([("import", ["::".join([*base[f, path[0]], *path[1:]])])] if (f, path[0]) in base else [])
+        found = [(tier, {i for i, _, q in names if q == keys[0]}) for tier, keys in tiers]
+        found.append(("receiver", {i for i, _, q in names if "::" in q and q.split("::")[-2:] == [owner, path[-1]]}))
+        found.append(("simple", {i for i, n, _ in names if n == path[-1]}))
+        out[ref] = next(((t, k) for k, t in found if t), (set(), None))
+    return out
+
+
+def test_many_symbols_of_one_name(spark):
+    """Names that many symbols share, imports under another name, scopes of any depth; pairs counted without being made."""
+    names = [(i, f"n{i % 3}", f"a::b{i % 5}::n{i % 3}") for i in range(40)] + [(100 + i, f"m{i}", f"p{i % 2}::q::m{i}") for i in range(9)] + [(200, "part", "x::9"), (201, "top", "top"), (202, "top", "a::top")]
+    paths = [["n1"], ["b1", "n1"], ["m3"], ["q", "m3"], ["part"], ["alias"], ["alias", "m2"], ["top"], ["9"], ["none"], ["a", "b2", "n2"], ["other"]]
+    imports = [("f", "alias", ["p0", "q", "m4"], 0), ("f", "alias", ["p1", "q", "m5"], 1), ("g", "other", ["a", "b1", "n0"], 0), ("f", "n1", ["a", "b0", "n0"], 2)]
+    refs = [(k * 10 + j, j % 40, ["a::b0::n0", "top", "a::b3::n1::deep::er::s"][j % 3], "fg"[j % 2], p, [None, "q", "z::b4"][j % 3]) for k, p in enumerate(paths) for j in range(6)]
+    want = looked_up_by_hand(names, refs, imports)
+    args = spark.createDataFrame(refs, REFS), spark.createDataFrame(imports, IMPORTS), spark.createDataFrame(names, NAMES)
+    found, lost = resolve.resolve(*args)
+    pairs = {(ref, i, tier if len(to) == 1 else "ambiguous") for ref, (to, tier) in want.items() for i in to}
+    assert rows(found, "ref_id", "target_id", "resolution") == pairs and found.count() == len(pairs) > 0
+    assert rows(lost, "ref_id") == {(ref,) for ref, (to, _) in want.items() if not to} != set()
+    counts = {k: (n, r, t) for k, n, r, t in resolve.resolved_counts(*args, F.col("id") % 7).select("resolution", "n", "refs", "total").collect()}
+    assert counts == {k: (len(own := [p for p in pairs if p[2] == k]), len({p[0] for p in own}), sum(p[1] % 7 for p in own)) for k in {p[2] for p in pairs}}
+
+
+def test_pairs_of_a_crowded_name_are_counted_only(spark):
+    """3,000 references to a name of 3,000 symbols: the lookup has one row for each reference, so no plan makes nine million."""
+    names = spark.range(3000).select("id", F.lit("new").alias("name"), F.concat(F.lit("a::T"), "id", F.lit("::new")).alias("qualified_name"))
+    refs = spark.range(3000).selectExpr("id AS ref_id", "id AS source_id", "'a::T' AS source_name", "'f' AS file_path", "array('new') AS path", "CAST(NULL AS STRING) AS qualifier")
+    imports = spark.createDataFrame([], IMPORTS)
+    assert resolve.looked_up(refs, imports, names).count() == 3000
+    assert [tuple(r) for r in resolve.resolved_counts(refs, imports, names, F.lit(1)).collect()] == [("ambiguous", 9_000_000, 3000, 9_000_000)]
