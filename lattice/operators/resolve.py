@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lattice.functions import text
 from lattice.model import CONTAINERS, LIFTED_EDGES, SURE
-from lattice.runtime import cut
+from lattice.runtime import cut, dealt
 
 TIERS = ("exact", "scoped", "import", "receiver", "simple")
 
@@ -96,7 +96,7 @@ def looked_up(refs: DataFrame, imports: DataFrame, elements: DataFrame, value: C
     ends = F.explode(F.array("bare", F.when(_end(F.col("imported"), 1) != F.col("bare"), _end(F.col("imported"), 1)))) if renamed else F.col("bare")
     mine = mine.withColumns({"at": ends, "is_ref": F.lit(True)}).where("at is not null")
     both = mine.unionByName(_places(elements).withColumn("is_ref", F.lit(False)), allowMissingColumns=True).withColumn("place", F.xxhash64("at"))
-    both = both.repartition(4 * int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "place")
+    both = dealt(both, "place")
     there = W.partitionBy("place")
     bits = [F.when(k.isNotNull(), _bit(F.xxhash64(F.lit(s), k))).otherwise(F.lit(0).cast("long")) for s, k in _keys_held()]
     both = both.withColumns({"held": F.bit_or(F.when(~F.col("is_ref"), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]))).over(there), "sought": F.max("is_ref").over(there), "scopes": F.coalesce(_segments(F.col("scope")), F.lit(0))})

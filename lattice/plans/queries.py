@@ -217,22 +217,22 @@ def _seed(w: Warehouse, *ids: int) -> DataFrame:
 
 @plan
 def walk_out(w: Warehouse) -> DataFrame:
-    return graph.walk(w.relations(), _seed(w, 2000000003), ("contains", "calls"), "outgoing", 3)
+    return graph.walk(w.stored("relations"), _seed(w, 2000000003), ("contains", "calls"), "outgoing", 3)
 
 
 @plan
 def walk_in(w: Warehouse) -> DataFrame:
-    return graph.walk(w.relations(), _seed(w, 5000000010), ("contains", "calls"), "incoming", 4)
+    return graph.walk(w.stored("relations"), _seed(w, 5000000010), ("contains", "calls"), "incoming", 4)
 
 
 @plan
 def walk_both(w: Warehouse) -> DataFrame:
-    return graph.walk(w.relations(), _seed(w, 6000000011), ("calls",), "both", 3)
+    return graph.walk(w.stored("relations"), _seed(w, 6000000011), ("calls",), "both", 3)
 
 
 @plan
 def walk_edges(w: Warehouse) -> DataFrame:
-    r = w.relations()
+    r = w.stored("relations")
     return graph.walk_edges(r, graph.walk(r, _seed(w, 6000000011), ("calls",), "both", 2), ("calls",))
 
 
