@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lattice.model import Direction
-from lattice.runtime import cut, release
+from lattice.runtime import cut, dealt, release
 
 #: PageRank's share of steps along edges, and its rounds.
 ALPHA, ROUNDS = 0.85, 20
@@ -48,13 +48,19 @@ def walk_edges(relations: DataFrame, found: DataFrame, kinds: tuple[str, ...]) -
 
 def ancestors(relations: DataFrame, ids: DataFrame, depth: int = 6) -> DataFrame:
     """(id, ancestor_id, depth): containers above each id, along the first contains relation into each."""
-    parent = relations.where("kind = 'contains'").groupBy(F.col("target_id").alias("child")).agg(F.min_by("source_id", "id").alias("parent"))
-    at, levels = ids.select("id", F.col("id").alias("here")), []
-    for d in range(1, depth + 1):
-        at = at.join(parent, F.col("here") == F.col("child")).select("id", F.col("parent").alias("here"))
-        levels.append(at.select("id", F.col("here").alias("ancestor_id"), F.lit(d).alias("depth")))
-    first = F.row_number().over(W.partitionBy("id", "ancestor_id").orderBy("depth"))
-    return reduce(DataFrame.union, levels).withColumn("n", first).where("n = 1 and id <> ancestor_id").drop("n")
+    parent = cut(relations.where("kind = 'contains'").groupBy(F.col("target_id").alias("child")).agg(F.min_by("source_id", "id").alias("parent")))
+    up = cut(parent.join(parent.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")) if depth > 1 else parent
+    chains = up.select(F.col("child").alias("parent"), F.array("parent").alias("chain"))  # of containers only, which are few beside what they contain
+    for _ in range(depth - 2):
+        step = up.select(F.col("child").alias("c"), F.array("parent").alias("more"))
+        chains = chains.join(step, F.element_at("chain", -1) == F.col("c"), "left").select("parent", F.concat("chain", F.coalesce("more", F.slice("chain", 1, 0))).alias("chain"))
+    first = ids.select("id").distinct().join(parent, F.col("id") == F.col("child")).select("id", "parent")
+    if depth > 1:
+        first = first.join(chains, "parent", "left").select("id", F.concat(F.array("parent"), F.coalesce("chain", F.slice(F.array("parent"), 1, 0))).alias("chain"))
+    else:
+        first = first.select("id", F.array("parent").alias("chain"))
+    found = first.select("id", "chain", F.posexplode("chain").alias("n", "ancestor_id"))
+    return found.where((F.array_position("chain", F.col("ancestor_id")) == F.col("n") + 1) & (F.col("id") != F.col("ancestor_id"))).select("id", "ancestor_id", (F.col("n") + 1).alias("depth"))
 
 
 def _start(seeds: DataFrame) -> DataFrame:
@@ -65,7 +71,7 @@ def _start(seeds: DataFrame) -> DataFrame:
 
 def _rounds(steps: DataFrame, start: DataFrame, rounds: int, alpha: float) -> DataFrame:
     """(id, rank) after so many rounds along steps (src, dst, w). What is moved in a round is cut, and its sum is observed as it is written, so a round is one job and its plan doesn't grow. Steps are dealt out by src once for all rounds; what is lost of them is read again."""
-    steps, rank, before = steps.repartition("src").persist(), start.select("id", F.col("p").alias("rank")), None
+    steps, rank, before = dealt(steps, "src").persist(), start.select("id", F.col("p").alias("rank")), None
     for _ in range(rounds):
         moved = steps.join(rank, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("w")).alias("moved"))
         total = Observation()
@@ -81,19 +87,18 @@ def _rounds(steps: DataFrame, start: DataFrame, rounds: int, alpha: float) -> Da
 
 def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, alpha: float = ALPHA) -> DataFrame:
     """(id, rank) of a walk along edges (src, dst) that returns to the seeds (id), as does the share of elements without a way out. No seeds, no ranks."""
-    out = cut(edges.distinct())
-    steps = cut(out.join(out.groupBy("src").agg((1.0 / F.count("*")).alias("w")), "src"))
-    release(out)
+    steps = cut(dealt(edges.select("src", "dst"), "src").distinct().withColumn("w", 1.0 / F.count("*").over(W.partitionBy("src"))))
     return _rounds(steps, _start(seeds), rounds, alpha)
 
 
 def hyper_pagerank(incidences: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, alpha: float = ALPHA) -> tuple[DataFrame, DataFrame]:
     """Ranks of elements and of hyperedges, for a walk from parts to hyperedges and on to their anchors."""
-    into = incidences.where("role <> 'anchor'").select(F.col("element_id").alias("src"), F.col("relation_id").alias("edge")).distinct()
-    onto = incidences.where("role = 'anchor'").select(F.col("relation_id").alias("edge"), F.col("element_id").alias("dst")).distinct()
-    shared = lambda df, key: df.join(df.groupBy(key).agg(F.count("*").alias("n")), key)
-    into, onto = cut(shared(into, "src").withColumnRenamed("n", "n_in")), cut(shared(onto, "edge").withColumnRenamed("n", "n_out"))
-    steps = cut(into.join(onto, "edge").groupBy("src", "dst").agg(F.sum(1.0 / (F.col("n_in") * F.col("n_out"))).alias("w")))
+    into = incidences.where("role <> 'anchor'").select(F.col("element_id").alias("src"), F.col("relation_id").alias("edge"))
+    onto = incidences.where("role = 'anchor'").select(F.col("relation_id").alias("edge"), F.col("element_id").alias("dst"))
+    shared = lambda df, key, n: dealt(df, key).distinct().withColumn(n, F.count("*").over(W.partitionBy(key)))
+    into, onto = cut(shared(into, "src", "n_in")), cut(shared(onto, "edge", "n_out"))
+    pairs = dealt(into, "edge").join(onto, "edge").select("src", "dst", (1.0 / (F.col("n_in") * F.col("n_out"))).alias("w"))
+    steps = cut(dealt(pairs, "src").groupBy("src", "dst").agg(F.sum("w").alias("w")))
     rank = _rounds(steps, _start(seeds), rounds, alpha)
     edges = into.join(rank, F.col("src") == F.col("id")).groupBy(F.col("edge").alias("id")).agg(F.sum(F.col("rank") / F.col("n_in")).alias("rank"))
     return rank, edges
