@@ -18,13 +18,26 @@ OTHER_KIND = 30
 
 def ascii_lower(c: Column) -> Column:
     """A-Z lowered, nothing else; lower() does the same where all is ASCII, and is much faster."""
-    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.lower(c))
+    return _lowered(c, _beyond_ascii(c))
+
+
+def _beyond_ascii(c: Column) -> Column:
+    return c.rlike(r"[^\x00-\x7F]")
+
+
+def _lowered(c: Column, odd: Column) -> Column:
+    return F.when(odd, F.translate(c, string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.lower(c))
 
 
 def terms(c: Column) -> Column:
     """Sorted distinct ASCII words of two characters or more, split at case and digit changes to a capital."""
-    parts = F.split(F.regexp_replace(F.coalesce(c, F.lit("")), "([a-z0-9])([A-Z])", "$1 $2"), "[^A-Za-z0-9]+")
-    return F.array_sort(F.array_distinct(F.filter(F.transform(parts, ascii_lower), lambda x: F.length(x) > 1)))
+    return F.array_sort(_words(F.coalesce(c, F.lit(""))))
+
+
+def _words(c: Column) -> Column:
+    """terms() in the order of the text. Whole texts are lowered, then split."""
+    parts = F.split(_lowered(F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1 $2"), _beyond_ascii(c)), "[^a-z0-9]+")
+    return F.array_distinct(F.filter(parts, lambda x: F.length(x) > 1))
 
 
 def query_terms(query: str) -> list[str]:
@@ -61,9 +74,9 @@ WORDS, NAME_WORDS = "search_words", "name_words"
 
 def prepared(e: dict[str, Column]) -> dict[str, Column]:
     """The words of all fields, those of the two names, and the lowered fields."""
-    low = {f"low_{k}": ascii_lower(F.coalesce(v, F.lit(""))) for k, v in e.items()}
-    own = F.array_distinct(F.concat(terms(e["name"]), terms(e["qualified_name"])))
-    return {WORDS: F.array_distinct(F.flatten(F.array(*(terms(v) for v in e.values())))), NAME_WORDS: own} | low
+    every = F.concat_ws("\n", *e.values())  # no word goes over the end of a line
+    low = {f"low_{k}": _lowered(F.coalesce(v, F.lit("")), _beyond_ascii(every)) for k, v in e.items()}
+    return {WORDS: _words(every), NAME_WORDS: _words(F.concat_ws("\n", e["name"], e["qualified_name"]))} | low
 
 
 def symbol_score(query: str, e: dict[str, Column]) -> Column:

@@ -35,10 +35,11 @@ def search_symbols(elements: DataFrame, query: str, limit: int = 50, kinds: tupl
     """The best symbols for a query with their score. Without terms every symbol has score 0; with terms a symbol without a hit still has its bonuses, so all are scored: one scan and a top-k."""
     found = symbols(elements, kinds)
     if text.query_terms(query):
-        found = with_words(found).withColumn("score", text.symbol_score(query, {f: F.col(f) for f in FIELDS})).where("score > 0")
+        found = with_words(found).withColumn("score", text.symbol_score(query, {f: F.col(f) for f in FIELDS}))
     else:
         found = found.withColumn("score", F.lit(0).cast("long"))
-    return without_words(found).orderBy(F.col("score").desc(), *ORDER).limit(limit)
+    best = without_words(found).orderBy(F.col("score").desc(), *ORDER).limit(limit)
+    return best.where("score > 0") if text.query_terms(query) else best  # after the limit, where it doesn't make scores and words twice
 
 
 def search_files(elements: DataFrame, query: str, limit: int = 50, top: int = 8) -> DataFrame:
